@@ -9,14 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import groups, leaks, neardup, split, tokenize, truncation
+from tessera.llm import boilerplate, groups, leaks, neardup, split, tokenize, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     """The queries of this package by name."""
-    found = [neardup.p1_found, neardup.p1_classes, groups.p3_found, split.p5_found, split.p5_chunks, tokenize.p6_ids, leaks.p7_found, leaks.p7_scrubbed, truncation.p8_found, truncation.p8_rates]
+    found = [neardup.p1_found, neardup.p1_classes, groups.p3_found, boilerplate.p4_found, boilerplate.p4_main, split.p5_found, split.p5_chunks, tokenize.p6_ids, leaks.p7_found, leaks.p7_scrubbed, truncation.p8_found, truncation.p8_rates]
     return {f.__name__: f for f in found}
 
 
