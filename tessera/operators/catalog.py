@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import DEFAULT_DATABASE
+from tessera.plans.session import settle
 
 #: Tables whose rows go with their database; the last two only on request.
 CASCADE = ("connections", "concepts", "chunks", "ingest_events")
@@ -49,9 +50,14 @@ def check_dimensions(df: DataFrame, column: str, dims: int) -> DataFrame:
 
 
 class Snapshots:
-    """Versioned tables under a folder: `<root>/<name>/v=<n>`; readers see the last version that was written whole."""
+    """Versioned tables under a folder: whole states `<root>/<name>/v=<n>` and additions `<root>/<name>/d=<n>`.
+
+    A table is its last whole state and the additions after it; readers see only what was
+    written to the end. An addition costs what it adds, not what is there.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
+        settle(spark)
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self):  # noqa: ANN202
@@ -59,32 +65,50 @@ class Snapshots:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self, name: str) -> int:
+    def _parts(self, name: str) -> list[tuple[int, str]]:
+        """(number, kind) of what was written to the end, in order."""
         fs, path = self._fs()
         base = path(f"{self.root}/{name}")
         if not fs.exists(base):
-            return 0
-        done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v=") and fs.exists(path(f"{s.getPath().toString()}/_SUCCESS"))]
-        return max(done, default=0)
+            return []
+        names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(base)]
+        return sorted((int(n[2:]), n[0]) for n, full in names if n[:2] in ("v=", "d=") and fs.exists(path(f"{full}/_SUCCESS")))
+
+    def version(self, name: str) -> int:
+        return max((n for n, _ in self._parts(name)), default=0)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        n = self.version(name) if version is None else version
-        if not n:
+        parts = [p for p in self._parts(name) if version is None or p[0] <= version]
+        whole = max((n for n, k in parts if k == "v"), default=None)
+        if whole is None:
             raise FileNotFoundError(f"no version of {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v={n}")
+        paths = [f"{self.root}/{name}/{k}={n}" for n, k in parts if n >= whole]
+        # every part has the schema of the whole state
+        schema = self.spark.read.parquet(paths[0]).schema
+        df = self.spark.read.schema(schema).parquet(paths[0])
+        for p in paths[1:]:
+            df = df.unionByName(self.spark.read.schema(schema).parquet(p))
+        return df
 
     def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> int:
-        """Write the next version; the last one stays, so `df` may read from it."""
+        """Write the next whole state; the parts before stay, so `df` may read from them."""
         n = self.version(name) + 1
         out = df.write.mode("overwrite")
         (out.partitionBy(partition_by) if partition_by else out).parquet(f"{self.root}/{name}/v={n}")
         return n
 
+    def append(self, name: str, df: DataFrame) -> int:
+        """Add rows; returns how many."""
+        at = f"{self.root}/{name}/d={self.version(name) + 1}"
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at).count()
+
     def vacuum(self, name: str, keep: int = 10) -> None:
-        """Remove all but the last versions."""
+        """Remove what is older than the last whole state and all but the last `keep` versions."""
         fs, path = self._fs()
+        parts = self._parts(name)
+        whole = max((n for n, k in parts if k == "v"), default=0)
         last = self.version(name)
-        for s in fs.listStatus(path(f"{self.root}/{name}")):
-            v = s.getPath().getName()
-            if v.startswith("v=") and int(v[2:]) <= last - keep:
-                fs.delete(s.getPath(), True)
+        for n, k in parts:
+            if n < whole and n <= last - keep:
+                fs.delete(path(f"{self.root}/{name}/{k}={n}"), True)

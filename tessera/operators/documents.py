@@ -71,12 +71,12 @@ def longest_by_prefix(df: DataFrame, group: str, position: str, text: str, prefi
 def script_segments(text: Column, form: str) -> Column:
     """(speaker, text) of a script: dialogue and interview by their speakers' marks, else pairs of sentences by one narrator. An interview without marks is a monologue."""
     found = F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]+"), 0)
-    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), lambda i: F.trim(F.concat_ws(" ", F.transform(F.slice(found, i * 2 + 1, 2), F.trim)))), lambda x: x != "")
+    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), lambda i: F.trim(F.concat_ws(" ", F.transform(F.slice(found, i * 2 + 1, 2), lambda x: F.trim(x))))), lambda x: x != "")
     single = F.transform(pairs, lambda x: F.struct(F.lit("NARRATOR").alias("speaker"), x.alias("text")))
     if form == "monologue":
         return single
     names = "ALEX|SAM" if form == "dialogue" else "HOST|EXPERT"
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(rf"^({names}):"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(rf"^({names}):"))
     spoken = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, rf"^({names}):", 1).alias("speaker"), F.trim(F.regexp_replace(x, rf"^({names}):", "")).alias("text")))
     return F.when(F.size(spoken) > 0, spoken).otherwise(single) if form == "interview" else spoken
 

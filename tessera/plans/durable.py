@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans.session import settle
+
 _WRITTEN: list[tuple[object, object]] = []
 
 
@@ -34,6 +36,7 @@ def durable(df: DataFrame) -> DataFrame:
     scans prune columns. The folders are removed when the driver ends.
     """
     spark = df.sparkSession
+    settle(spark)
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -192,7 +192,7 @@ def concept_order(spark, d):
     return M.concept_index(V.concepts(spark, d))
 
 
-@query("edge_insert_ignore", with_views("edges_v", """select source_chunk, target_chunk, relationship, weight from (select nullif(lower(trim(target_chunk,' '||chr(9))),'') as source_chunk, nullif(lower(trim(source_chunk,' '||chr(9))),'') as target_chunk, relationship, min(weight) as weight from connections where weight is not null and not isnan(weight) group by 1,2,3) n
+@query("edge_insert_ignore", with_views("edges_v", """select source_chunk, target_chunk, relationship, weight from (select nullif(lower(trim(target_chunk,' '||chr(9))),'') as source_chunk, nullif(lower(trim(source_chunk,' '||chr(9))),'') as target_chunk, relationship, min(weight) as weight from connections where weight is not null and cast(weight as varchar)<>'nan' group by 1,2,3) n
  where source_chunk is not null and target_chunk is not null and relationship is not null and not exists (select 1 from edges_v e where e.source_chunk=n.source_chunk and e.target_chunk=n.target_chunk and e.relationship=n.relationship)"""))
 def edge_insert_ignore(spark, d):
     """Every connection turned round, inserted where its triplet is new."""

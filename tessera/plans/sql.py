@@ -25,7 +25,7 @@ VIEWS = {
     "edges_v": f"""select * from (select edge_id, {_NODE.format("source_chunk")} as source_chunk, {_NODE.format("target_chunk")} as target_chunk, relationship,
         weight, confidence, {_moment("created_at")} as created_at, {_moment("last_reinforced")} as last_reinforced, {_DB} as database_id, access_count,
         support_count, contradict_count, seen_count, {_moment("last_seen")} as last_seen, avg_sim, evidence_score, weight_version from connections)
-        where source_chunk is not null and target_chunk is not null and weight is not null and not isnan(weight)
+        where source_chunk is not null and target_chunk is not null and weight is not null and cast(weight as varchar)<>'nan'
         qualify row_number() over (partition by source_chunk, target_chunk, relationship order by created_at nulls first, edge_id)=1""",
     "concepts_v": f"""select concept_id, label, summary, {_ids("member_chunks")} as raw_members, list_sort(list_distinct(list_filter({_ids("member_chunks")}, lambda x: x<>''))) as members,
         {_moment("created_at")} as created_at, {_moment("last_updated")} as last_updated, {_DB} as database_id, confidence,
