@@ -388,7 +388,8 @@ def rebuild(text: str, faults: list[dict]) -> str:
         indented = raw.strip("\r\f")[:2] in ("  ", "\t") or raw.startswith("\t")
         open_ = bool(out) and out[-1][-1:] not in ".?!:\"”" and x[0].islower()
         if glue or (not fresh and not (blanks and not open_) and not indented):
-            out[-1] += glue.replace("\x00", "") + x if glue else " " + x
+            # a compound that ends a line with its own hyphen goes on without a blank
+            out[-1] += x if glue or re.search(r"[^\W\d_]-$", out[-1]) and x[0].islower() else " " + x
         else:
             out.append(x)
         fresh, blanks, glue = False, 0, ""
