@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import boilerplate, groups, leaks, neardup, scans, split, tokenize, truncation
+from tessera.llm import boilerplate, groups, leaks, neardup, scans, split, sql, tokenize, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,4 +22,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those queries that it can express over whole tables."""
-    return {}
+    return dict(sql.SQL)
