@@ -148,7 +148,7 @@ def furniture_of(lines: list[str]) -> list[bool]:
 
     for i in tops:
         x = s[i]
-        if i in head or not x[0].isupper() and not x[0].isdigit() or x[-1] in ".,;:?!" + DIVIDERS:
+        if i in head or not x[0].isupper() or x[-1] in ".,;:?!" + DIVIDERS:
             continue
         if _like(keys[i], others):
             head.add(i)
