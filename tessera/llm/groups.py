@@ -78,11 +78,11 @@ def components(edges: DataFrame, bound: int = EDGES_PER_TASK) -> DataFrame:
     edges = edges.where("u is not null and v is not null and u <> v")
     pointers: list[DataFrame] = []
     level = 0
-    known = None
+    known = edges.count()
     while True:
-        n = max(1, edges.rdd.getNumPartitions()) if known is None else max(1, -(-known // bound))
-        if known is not None:
-            edges = edges.repartition(n)
+        # no partition is over the bound, however the edges were stored; small graphs still use all cores at first
+        n = max(1, -(-known // bound), min(spark.sparkContext.defaultParallelism, known // 50_000))
+        edges = edges.repartition(n)
         forest = durable(edges.mapInArrow(_forest_of, _EDGE))
         rows = forest.count()
         while n > 1 and (fewer := max(1, -(-rows // bound))) < n:

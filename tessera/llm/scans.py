@@ -77,7 +77,14 @@ def _heading(line: str) -> bool:
 
 def _like(a: str, others: list[str]) -> bool:
     """Whether a running line is one of the others, but for some misread signs."""
-    return any(abs(len(a) - len(b)) <= 4 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.88 for b in others)
+    m = SequenceMatcher(None, "", a, autojunk=False)
+    for b in others:
+        if abs(len(a) - len(b)) <= 4:
+            m.set_seq1(b)
+            # two cheap upper bounds come before the comparison itself
+            if m.real_quick_ratio() >= 0.88 and m.quick_ratio() >= 0.88 and m.ratio() >= 0.88:
+                return True
+    return False
 
 
 def furniture_of(lines: list[str]) -> list[bool]:
@@ -200,7 +207,8 @@ def body_words(lines: list[str], out: list[bool]) -> tuple[list[tuple[int, str,
             j = body[at + 1]
             y = lines[j].strip(" \t\r\f")
             f = _FIRST.match(y)
-            if f and f[1][0].islower() and f.start(1) == 0 and f[1] not in ("and", "or", "to", "und", "oder", "et", "ou", "y", "o", "e"):
+            capitals = f and m[1].isupper() and f[1].isupper() and len(m[1]) > 1
+            if f and (f[1][0].islower() or capitals) and f.start(1) == 0 and f[1] not in ("and", "or", "to", "und", "oder", "et", "ou", "y", "o", "e"):
                 divided.append((i, m[1], f[1], j))
                 end, skip = m.start(1), f.end(1)
         words += [(i, w) for w in _TOKEN.findall(x[start:end])]

@@ -31,6 +31,7 @@ MARKS = re.compile(
     r"|<(?:truncated|cut|more|snip)/?>|(?:continue reading|read more|show more|see more)(?:\s*(?:»|→|>>|\.\.\.|…))?|-{2,}\s*(?:connection (?:closed|lost|reset)|transfer (?:aborted|failed|interrupted)|truncated|cut off|end of file|eof|timeout|timed out)\b[^\n]*|�)$",
     re.IGNORECASE,
 )
+MARK_CHARS = 300
 # Abbreviations whose point ends no sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "approx.", "cf.", "vs.", "z.b.", "p. ex.", "etwa.", "no.", "fig.")
 TERMINATORS = ".!?。！？…।؟۔"
@@ -75,7 +76,8 @@ def judge(text: str) -> tuple[str, str]:
     """("cut" | "whole" | "ask", last line); `ask` is for short last lines that only other texts can vouch for."""
     t = text.rstrip()
     last = t[t.rfind("\n") + 1 :].strip()
-    if MARKS.search(t):
+    # a mark stands at the very end, and none is longer than this
+    if MARKS.search(t[-MARK_CHARS:]):
         return "cut", last
     if t[0] in "{[" and t[:400].lstrip("{[ \n\t\r")[:1] in '"{[]}-0123456789tfn':
         try:
