@@ -61,6 +61,18 @@ def visual_marker(seconds: Column, description: Column) -> Column:
     return F.concat(F.lit("\n[VISUAL at "), clock(seconds), F.lit("] "), description, F.lit("\n"))
 
 
+def merged_transcript(lines: DataFrame, frames: DataFrame, key: str) -> DataFrame:
+    """(key, text): a transcript with each frame's description before the first line at its time or after.
+
+    lines: key, start, line. frames: key, frame (seconds), description. Frames after the last line go.
+    """
+    placed = frames_into_lines(lines, frames, key).join(frames.select(key, F.col("frame").cast("double").alias("frame"), "description"), [key, "frame"])
+    shown = placed.select(key, F.struct(F.col("line_start").alias("t"), F.lit(0).alias("k"), F.col("frame").alias("s"), visual_marker(F.col("frame"), F.col("description")).alias("x")).alias("r"))
+    spoken = lines.select(key, F.struct(F.col("start").cast("double").alias("t"), F.lit(1).alias("k"), F.col("start").cast("double").alias("s"), F.concat(F.lit("["), clock(F.col("start")), F.lit("] "), "line").alias("x")).alias("r"))
+    both = shown.unionByName(spoken).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return both.select(key, F.array_join(F.transform("r", lambda r: r["x"]), "\n").alias("text"))
+
+
 def longest_by_prefix(df: DataFrame, group: str, position: str, text: str, prefix: int = 50) -> DataFrame:
     """(group, position, text): of texts of a group that begin alike (without case) the longest, at the place of the first."""
     t = F.trim(text)

@@ -221,6 +221,13 @@ def test_frames(spark):
     assert {(r.frame, r.line_start) for r in D.frames_into_lines(lines, frames, "k").collect()} == {(0.0, 10.0), (10.0, 10.0), (11.0, 20.0)}
 
 
+def test_video_is_merged(spark):
+    lines = spark.createDataFrame([(1, 5, "first"), (1, 65, "second")], "k int, start long, line string")
+    frames = spark.createDataFrame([(1, 0.0, "a door"), (1, 30.0, "a hall"), (1, 90.0, "gone")], "k int, frame double, description string")
+    assert D.merged_transcript(lines, frames, "k").first().text == "\n[VISUAL at 0:00] a door\n\n[0:05] first\n\n[VISUAL at 0:30] a hall\n\n[1:05] second"
+    assert D.merged_transcript(lines, frames.where("false"), "k").first().text == "[0:05] first\n[1:05] second"
+
+
 def test_scripts(spark):
     df = spark.createDataFrame([("One. Two! Three?", "ALEX: hi there\nnoise\nSAM: yes")], "a string, b string")
     r = df.select(D.script_segments(F.col("a"), "monologue").alias("m"), D.script_segments(F.col("b"), "dialogue").alias("d"), D.script_segments(F.col("a"), "interview").alias("i"), D.safe_filename(F.lit("A b/C!")).alias("f"), D.script_seconds(D.script_segments(F.col("b"), "dialogue")).alias("s")).first()
