@@ -322,11 +322,19 @@ def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
         return x
 
     out = []
+    label = np.array([root(x) for x in range(len(code))])
     for i, j in trie_join(np.zeros(len(code), dtype=np.int64), sketch, size, t, known, side):
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            if (p := root(x)) != (q := root(y)) and similar(np.asarray(sets[x]), np.asarray(sets[y]), t):
-                parent[p] = q
-                out.append((code[x], code[y]))
+        for at in range(0, len(i), 4096):
+            # pairs that links found before have connected are dropped as arrays, not one by one
+            x_all, y_all = i[at : at + 4096], j[at : at + 4096]
+            open_ = label[x_all] != label[y_all]
+            before = len(out)
+            for x, y in zip(x_all[open_].tolist(), y_all[open_].tolist(), strict=True):
+                if (p := root(x)) != (q := root(y)) and similar(np.asarray(sets[x]), np.asarray(sets[y]), t):
+                    parent[p] = q
+                    out.append((code[x], code[y]))
+            if len(out) > before:
+                label = np.array([root(x) for x in range(len(code))])
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
