@@ -14,6 +14,7 @@ unique runs between are the main body.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -154,7 +155,7 @@ def _label(line: str) -> bool:
     return not _is_prose(line) and not _is_item(line)
 
 
-def _title_of(lines: list[tuple[list[str], bool]]) -> list[str] | None:
+def _title_of(lines: Iterable[tuple[list[str], bool]]) -> list[str] | None:
     """The last label before the first sentence or item."""
     seen = None
     for tokens, label in lines:
@@ -165,21 +166,28 @@ def _title_of(lines: list[tuple[list[str], bool]]) -> list[str] | None:
 
 
 def _profile(part: pd.DataFrame) -> pd.DataFrame:
-    """Supports of one shard of a host."""
+    """Supports of one shard of a host: all of them, since what one page of a shard holds may be in every other shard."""
     host = part["host"].iloc[0]
     site = site_words(host)
-    pages = [[(tokens_of(x, site), _label(x)) for x in lines_of(text) if x] for text in part["text"]]
-    rows = shard_support(pages, 1 if part["n"].iloc[0] < SMALL_HOST else 2)
-    often = {h for kind, h, n in rows if kind in ("line", "short") and n >= max(LEAST_PAGES, LINE_SHARE * len(pages))}
+    rows = shard_support([[(tokens_of(x, site), _label(x)) for x in lines_of(text) if x] for text in part["text"]], 1)
+    out = pd.DataFrame(rows, columns=["kind", "h", "pages"]).groupby(["kind", "h"], as_index=False)["pages"].max()
+    out.insert(0, "host", host)
+    return out
+
+
+def _heads(part: pd.DataFrame, often_part: pd.DataFrame) -> pd.DataFrame:
+    """How many titles of one shard begin alike; lines that are often on the whole host are no titles."""
     heads: dict[int, int] = {}
-    for lines in pages:
-        t = _title_of([x for x in lines if not names_site(x[0], site) and hash_of(x[0]) not in often])
+    host = part["host"].iloc[0] if len(part) else ""
+    site, often = site_words(host), frozenset(often_part["h"].tolist())
+    for text in part["text"]:
+        lines = ((tokens_of(x, site), _label(x)) for x in lines_of(text) if x)
+        t = _title_of(x for x in lines if not names_site(x[0], site) and hash_of(x[0]) not in often)
         for k in LABEL_STARTS:
             if t and len(t) > k:
                 h = hash_of(t[:k])
                 heads[h] = heads.get(h, 0) + 1
-    rows += [("head", h, n) for h, n in heads.items()]
-    out = pd.DataFrame(rows, columns=["kind", "h", "pages"]).groupby(["kind", "h"], as_index=False)["pages"].max()
+    out = pd.DataFrame(list(heads.items()), columns=["h", "pages"])
     out.insert(0, "host", host)
     return out
 
@@ -254,11 +262,16 @@ def sharded(pages: DataFrame, chars: int = CHARS_PER_SHARD) -> DataFrame:
 def site_text(pages: DataFrame) -> DataFrame:
     """(host, kind, h): the site text of each host of `pages` (the output of `sharded`)."""
     support = durable(pages.groupBy("host", "shard").applyInPandas(_profile, "host string, kind string, h long, pages long"))
-    size = pages.groupBy("host").agg(F.count("*").alias("n")).withColumnRenamed("host", "k")
-    rows = lookup(support.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages")), "host", size, "k")
+    size = durable(pages.groupBy("host").agg(F.count("*").alias("n")).withColumnRenamed("host", "k"))
+    rows = durable(lookup(support.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages")), "host", size, "k"))
+    # titles are looked for when the shards are added up: a line may be often on the host and rare in a shard
+    often = rows.where(f"kind in ('line', 'short') and pages >= {LEAST_PAGES} and pages >= {LINE_SHARE} * n").select(F.col("host").alias("k"), "h").distinct()
+    per_shard = pages.select(F.col("host").alias("k"), F.col("shard").alias("s")).distinct().join(often, "k")
+    titles = pages.groupBy("host", "shard").cogroup(per_shard.groupBy("k", "s")).applyInPandas(_heads, "host string, h long, pages long")
+    heads = durable(lookup(titles.groupBy("host", "h").agg(F.sum("pages").alias("pages")), "host", size, "k"))
     starts = rows.where("kind = 'start'").select("host", "h", F.col("pages").alias("seen"))
     # a start of titles that no label but titles have has no row of its own among the starts
-    head = rows.where("kind = 'head'").join(starts, ["host", "h"], "left").where(F.col("pages") >= HEAD_RATIO * F.coalesce("seen", "pages")).select("host", "h", "n", "pages")
+    head = heads.join(starts, ["host", "h"], "left").where(F.col("pages") >= HEAD_RATIO * F.coalesce("seen", "pages")).select("host", "h", "n", "pages")
     share = F.when(F.col("kind") == "short", SHORT_SHARE).otherwise(LINE_SHARE)
     line = rows.where("kind in ('line', 'short')").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= share * F.col("n")))
     strong = (F.col("pages") >= STRONG_PAGES) & (F.col("pages") >= STRONG_SHARE * F.col("n"))
@@ -269,7 +282,7 @@ def site_text(pages: DataFrame) -> DataFrame:
     pool = own.groupBy("kind", "h").agg(F.count("*").alias("hosts")).where(f"hosts >= {LEAST_HOSTS}")
     common_heads = head.groupBy("h").agg(F.count("*").alias("hosts")).where(f"hosts >= {LEAST_HOSTS}").select("h")
     pool = pool.join(common_heads, "h", "left_anti").groupBy("h").agg(F.max("kind").alias("kind"))
-    small = rows.where(f"n < {SMALL_HOST} and kind <> 'head'").select("host", "h").distinct()
+    small = rows.where(f"n < {SMALL_HOST}").select("host", "h").distinct()
     also = small.join(pool, "h").select("host", "kind", "h")
     heads = head.select("host", "h").unionByName(small.join(common_heads, "h").select("host", "h")).select("host", F.lit("head").alias("kind"), "h")
     # one kind for each hash of a host; by name, strong goes before start, line and head

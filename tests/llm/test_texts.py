@@ -108,6 +108,19 @@ def test_support_counts_pages_once():
     assert boilerplate.shard_support([]) == []
 
 
+def test_supports_of_many_shards_are_those_of_one(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows = []
+    for i in range(240):
+        menu = ["Home"] + ["Rare link"] * (i % 80 == 0) + [f"All the pages of part {'abcdefghij'[i % 10]}"]
+        rows.append((i, "some-site.test", "\n".join([*menu, f"The {word()} {word()} of {word()}", " ".join(word() for _ in range(12)) + ".", "A line of some."])))
+    pages = spark.createDataFrame(rows, "parsed_id long, host string, text string")
+    one, many = ({(r.kind, r.h) for r in boilerplate.site_text(boilerplate.sharded(pages, chars)).collect()} for chars in (1_000_000, 400))
+    assert ("line", boilerplate.hash_of(["rare", "link"])) in one
+    assert many == one
+
+
 # ---- problem 6
 
 
