@@ -319,9 +319,13 @@ class Engine:
         return stale.count()
 
     def _prior(self, database: str) -> M.Prior:
-        concepts = [r[0] for r in self.table("concepts").where(F.col("database_id") == database).select("concept_id").orderBy("concept_id").limit(50_000).collect()]
-        row = self.table("associative_memory").where(F.col("model_id") == f"associative:{database}").first()
-        return M.Prior.from_row(row.asDict(recursive=True) if row else None, self.dims, concepts)
+        concepts = [r[0] for r in self.table("concepts").where(F.col("database_id") == database).select("concept_id").orderBy("concept_id").collect()]
+        rows = self.table("associative_memory").where(self._is_model(database)).toLocalIterator()
+        return M.Prior.from_rows((r.asDict(recursive=True) for r in rows), self.dims, concepts)
+
+    def _is_model(self, database: str) -> Column:
+        """Whether a row has a part of a database's model."""
+        return F.substring_index("model_id", "\x1f", 1) == M.model_id(database)
 
     def _concept_predictions(self, queries: DataFrame, model: M.Prior) -> DataFrame:
         import numpy as np
@@ -337,10 +341,12 @@ class Engine:
         mine = self.table("concepts").where(F.col("database_id") == database)
         model = self._prior(database)
         model = M.train(M.training_set(events, mine, self.dims), model.concepts, self.dims, prior=model)
-        row = model.to_row(database, int(self.clock().timestamp() * 1000)) | {"database_id": database}
-        new = self.spark.createDataFrame([row], _SCHEMAS["associative_memory"])
         old = self.table("associative_memory")
-        self.store.write("associative_memory", old.where(F.col("model_id") != row["model_id"]).unionByName(new.select(*old.columns)))
+        state = old.where(~self._is_model(database))
+        for row in model.to_rows(database, int(self.clock().timestamp() * 1000)):
+            new = self.spark.createDataFrame([row | {"database_id": database}], _SCHEMAS["associative_memory"], verifySchema=False)
+            state = state.unionByName(new.select(*old.columns))
+        self.store.write("associative_memory", state)
         return model.trained_on
 
     def consolidate(self, database: str = DEFAULT_DATABASE) -> dict[str, int]:

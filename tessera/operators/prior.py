@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql.window import Window
 from tessera.config import CONFIG
 from tessera.plans.durable import durable
 
+#: Outputs of the network in one registry row.
+OUTPUTS = 16_384
+
 
 def dense_index(df: DataFrame, column: str) -> DataFrame:
     """(column, n): the place of each distinct value in their order, from 0, without bringing all into one task.
@@ -66,6 +70,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def model_id(database: str) -> str:
+    return f"associative:{database}"
+
+
 @dataclass
 class Prior:
     """Dense 256 (with weight decay and dropout), dense 128, one sigmoid for each concept; Adam on the cross-entropy."""
@@ -90,8 +98,8 @@ class Prior:
     def influence(self) -> float:
         return min(CONFIG.prior_weight, CONFIG.prior_weight * self.trained_on / 100) if self.concepts else 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = CONFIG.prior_epochs, batch: int = CONFIG.prior_batch, rate: float = 1e-3, decay: float = 1e-3, drop: float = 0.2) -> bool:
-        """Train on rows of vectors and 0/1 targets; with fewer than ten samples or no concepts nothing happens."""
+    def fit(self, x: np.ndarray, y: np.ndarray | list[list[int]], epochs: int = CONFIG.prior_epochs, batch: int = CONFIG.prior_batch, rate: float = 1e-3, decay: float = 1e-3, drop: float = 0.2) -> bool:
+        """Train on rows of vectors and 0/1 targets, or the places of the ones in each row; with fewer than ten samples or no concepts nothing happens."""
         if len(x) < CONFIG.prior_min_samples or not self.concepts:
             return False
         rng = np.random.default_rng(self.seed + self.trained_on)
@@ -99,7 +107,8 @@ class Prior:
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
-                xb, yb = x[order[at : at + batch]], y[order[at : at + batch]]
+                some = order[at : at + batch]
+                xb, yb = x[some], y[some] if isinstance(y, np.ndarray) else self._targets([y[i] for i in some])
                 w1, b1, w2, b2, w3, b3 = self.layers
                 h1 = np.maximum(xb @ w1 + b1, 0)
                 mask = (rng.random(h1.shape) >= drop) / (1 - drop)
@@ -117,17 +126,46 @@ class Prior:
         self.trained_on += len(x)
         return True
 
+    def _targets(self, places: list[list[int]]) -> np.ndarray:
+        """0/1 rows, made for one batch at a time: all of them would be samples times concepts."""
+        y = np.zeros((len(places), len(self.concepts)))
+        for i, at in enumerate(places):
+            y[i, at] = 1
+        return y
+
+    def to_rows(self, database: str, as_of_ms: int, block: int = OUTPUTS) -> Iterator[dict]:
+        """Registry rows: one with the hidden layers and the first `block` outputs, and one for each further block, so that no row grows with the concepts.
+
+        The ids name the database, so models of two databases never mix.
+        """
+        *hidden, w, b = self.layers
+        for at in range(0, max(1, len(self.concepts)), block):
+            parts = [*(hidden if at == 0 else []), w[:, at : at + block], b[at : at + block]]
+            shapes = [{"shape": list(p.shape), "data": p.ravel().tolist()} for p in parts]
+            yield {"model_id": model_id(database) + (f"\x1f{at}" if at else ""), "weights": shapes, "num_concepts": len(self.concepts), "trained_on": self.trained_on, "last_trained": as_of_ms}
+
     def to_row(self, database: str, as_of_ms: int) -> dict:
-        """A registry row; the id names the database, so models of two databases never mix."""
-        shapes = [{"shape": list(p.shape), "data": p.ravel().tolist()} for p in self.layers]
-        return {"model_id": f"associative:{database}", "weights": shapes, "num_concepts": len(self.concepts), "trained_on": self.trained_on, "last_trained": as_of_ms}
+        """All of the network in one registry row."""
+        return next(self.to_rows(database, as_of_ms, max(1, len(self.concepts))))
 
     @classmethod
-    def from_row(cls, row: dict, dims: int, concepts: list[str]) -> Prior:
+    def from_rows(cls, rows: Iterable[dict], dims: int, concepts: list[str]) -> Prior:
         """The stored network if it has as many concepts, else a fresh one."""
-        if row and row["num_concepts"] == len(concepts) and row["weights"][0]["shape"][0] == dims:
-            return cls(dims, concepts, trained_on=row["trained_on"], layers=[np.array(p["data"]).reshape(p["shape"]) for p in row["weights"]])
-        return cls(dims, concepts)
+        parts, trained_on = {}, 0
+        for r in rows:
+            if r["num_concepts"] == len(concepts):
+                parts[int(r["model_id"].partition("\x1f")[2] or 0)] = [np.array(p["data"]).reshape(p["shape"]) for p in r["weights"]]
+                trained_on = r["trained_on"]
+        if 0 not in parts or parts[0][0].shape[0] != dims:
+            return cls(dims, concepts)
+        outputs = [parts[at][-2:] for at in sorted(parts)]
+        layers = [*parts[0][:-2], np.concatenate([w for w, _ in outputs], axis=1), np.concatenate([b for _, b in outputs])]
+        return cls(dims, concepts, trained_on=trained_on, layers=layers)
+
+    @classmethod
+    def from_row(cls, row: dict, dims: int, concepts: list[str]) -> Prior:
+        """As `from_rows`, of one row."""
+        return cls.from_rows([row] if row else [], dims, concepts)
 
 
 def train(samples: DataFrame, concepts: list[str], dims: int, most: int = 100_000, prior: Prior | None = None) -> Prior:
@@ -135,11 +173,7 @@ def train(samples: DataFrame, concepts: list[str], dims: int, most: int = 100_00
     rows = samples.orderBy(F.xxhash64("event_id")).limit(most).collect()
     prior = prior or Prior(dims, concepts)
     place = {c: i for i, c in enumerate(prior.concepts)}
-    y = np.zeros((len(rows), len(place)))
-    for i, r in enumerate(rows):
-        for c in r["concepts"]:
-            if c in place:
-                y[i, place[c]] = 1
+    y = [[place[c] for c in r["concepts"] if c in place] for r in rows]
     if len(rows):
         prior.fit(np.array([r["v"] for r in rows]), y)
     return prior

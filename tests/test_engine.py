@@ -125,3 +125,30 @@ def test_prior_needs_ten_samples(spark, tmp_path):
     assert np.allclose(q.predict(x), p.predict(x)) and q.trained_on == 20
     assert Prior.from_row(p.to_row("default", 0), 8, ["c", "d"]).trained_on == 0
     assert Prior(8, []).influence() == 0
+
+
+def test_prior_in_blocks_of_outputs():
+    import numpy as np
+
+    from tessera.operators.prior import Prior
+
+    p = Prior(8, ["a", "b", "c"], trained_on=7)
+    rows = list(p.to_rows("x", 0, block=2))
+    q = Prior.from_rows(rows[::-1], 8, ["a", "b", "c"])
+    assert len(rows) == 2 and q.trained_on == 7 and all(np.array_equal(a, b) for a, b in zip(p.layers, q.layers, strict=True))
+    assert Prior.from_rows(rows, 8, ["a", "b", "c", "d"]).trained_on == 0
+
+
+def test_a_prior_of_many_concepts_has_them_all(spark, tmp_path):
+    n, dims = 50_001, 8
+    e = Engine(spark, f"file://{tmp_path}", dims=dims)
+    c = spark.range(n).select(F.format_string("c%06d", "id").alias("concept_id"), F.array(F.concat(F.lit("m"), F.col("id").cast("string"))).alias("members"), F.lit("default").alias("database_id"))
+    e.store.write("concepts", e.table("concepts").unionByName(c, allowMissingColumns=True))
+    events = spark.createDataFrame([(f"e{i}", [f"m{n - 1}"], str([float(i == j) for j in range(dims)]), 1, "default") for i in range(12)], "event_id string, ids array<string>, query_embedding string, timestamp long, database_id string")
+    e.store.write("co_access_events", e.table("co_access_events").unionByName(events, allowMissingColumns=True))
+    assert e.train() == 12
+    model = e._prior("default")
+    assert model.trained_on == 12 and len(model.concepts) == n and model.layers[-1].shape == (n,)
+    assert model.layers[-1][-1] > 0 > model.layers[-1][:-1].max()
+    scores = e._concept_predictions(spark.createDataFrame([(0, [1.0] + [0.0] * (dims - 1))], "q int, v array<double>"), model)
+    assert scores.where(f"concept_id = 'c{n - 1:06d}'").count() == 1
