@@ -36,8 +36,8 @@ SHORT_SHARE, SHORT_TOKENS = 0.002, 3
 STRONG_PAGES, STRONG_SHARE = 6, 0.1
 #: A start belongs to headings when it begins the title on so large a share of the pages that have a label with it.
 HEAD_RATIO = 0.15
-#: Hosts with fewer pages also have the lines and starts that are site text on at least LEAST_HOSTS hosts.
-SMALL_HOST, LEAST_HOSTS = 200, 3
+#: Every host also has the lines and starts that are site text on at least so many hosts.
+LEAST_HOSTS = 3
 #: Tokens of the starts that are compared, of labels and of sentences; a sentence must be covered by its start to COVERED.
 LABEL_STARTS, SENTENCE_STARTS, COVERED = (2, 3, 4), (6, 8, 12, 16, 24, 32, 48), 0.75
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_+")
@@ -278,13 +278,13 @@ def site_text(pages: DataFrame) -> DataFrame:
     line = line.select("host", F.when(strong, "strong").otherwise("line").alias("kind"), "h")
     start = rows.where("kind = 'start'").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= START_SHARE * F.col("n"))).join(head, ["host", "h"], "left_anti").select("host", "kind", "h")
     own = durable(line.unionByName(start))
-    # what several hosts have in common is site text on small hosts as well
+    # what several hosts have in common is site text on all others as well
     pool = own.groupBy("kind", "h").agg(F.count("*").alias("hosts")).where(f"hosts >= {LEAST_HOSTS}")
     common_heads = head.groupBy("h").agg(F.count("*").alias("hosts")).where(f"hosts >= {LEAST_HOSTS}").select("h")
     pool = pool.join(common_heads, "h", "left_anti").groupBy("h").agg(F.max("kind").alias("kind"))
-    small = rows.where(f"n < {SMALL_HOST}").select("host", "h").distinct()
-    also = small.join(pool, "h").select("host", "kind", "h")
-    heads = head.select("host", "h").unionByName(small.join(common_heads, "h").select("host", "h")).select("host", F.lit("head").alias("kind"), "h")
+    held = rows.select("host", "h").distinct()
+    also = held.join(pool, "h").select("host", "kind", "h")
+    heads = head.select("host", "h").unionByName(held.join(common_heads, "h").select("host", "h")).select("host", F.lit("head").alias("kind"), "h")
     # one kind for each hash of a host; by name, strong goes before start, line and head
     return own.unionByName(also).unionByName(heads).groupBy("host", "h").agg(F.max("kind").alias("kind")).select("host", "kind", "h")
 

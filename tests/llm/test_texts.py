@@ -121,6 +121,14 @@ def test_supports_of_many_shards_are_those_of_one(spark):
     assert many == one
 
 
+def test_text_of_several_hosts_counts_on_large_hosts_too(spark):
+    line = "Brought to you by the same press"
+    rows = [(1000 * k + i, f"h{k}.test", f"Page {i} of it\n{line}\nSome words that end here.") for k in range(3) for i in range(5)]
+    rows += [(9000 + i, "large.test", (f"{line}\n" if i == 7 else "") + "Other words that end here.") for i in range(220)]
+    known = boilerplate.site_text(boilerplate.sharded(spark.createDataFrame(rows, "parsed_id long, host string, text string"))).where("host = 'large.test'")
+    assert boilerplate.hash_of(boilerplate.tokens_of(line)) in {r.h for r in known.collect()}
+
+
 # ---- problem 6
 
 
