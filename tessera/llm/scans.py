@@ -40,7 +40,7 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 DIVIDERS = "-‐‑­¬"
 #: A misread word is at most one such part as frequent as the right one, which has at least so many occurrences.
 RATIO, FREQUENT = 8, 8
-#: Words that are so frequent in the corpus are never misread ones; a list of fixed length.
+#: Of the words that can't be misread ones, the most frequent aren't marked; a list of fixed length that only saves work.
 STOP_WORDS = 3000
 _TOKEN = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(rf"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
@@ -279,6 +279,13 @@ def _places(word: pd.Series, meant: pd.Series) -> pd.Series:
     return pd.Series([place_of(a, b) for a, b in zip(word, meant, strict=True)], dtype="Int32")
 
 
+def _rare(vocabulary: DataFrame) -> Column:
+    """Whether a word may be misread: it has letters, and texts that weren't scanned have at most a tenth of what their length leads one to expect."""
+    total = vocabulary.agg(F.sum("clean"), F.sum("scan")).first()
+    expect = (total[0] or 0) / max(1, total[1] or 0)
+    return (F.col("scan") > 0) & (F.col("clean") <= 0.1 * expect * F.col("scan")) & F.col("word").rlike(r"\p{L}")
+
+
 def corrections(vocabulary: DataFrame) -> DataFrame:
     """(word, meant, place): each misread word with its best correction. vocabulary: word, clean, scan.
 
@@ -286,10 +293,8 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
     weren't scanned have at most a tenth of the share of it that their length leads
     one to expect.
     """
-    total = vocabulary.agg(F.sum("clean"), F.sum("scan")).first()
-    expect = (total[0] or 0) / max(1, total[1] or 0)
     words = vocabulary.where("word not like '%-%'").select("word", "clean", "scan", (F.col("clean") + F.col("scan")).alias("n")).where("length(word) > 1")
-    rare = words.where((F.col("scan") > 0) & (F.col("clean") <= 0.1 * expect * F.col("scan"))).where("word rlike '\\\\p{L}'")
+    rare = words.where(_rare(vocabulary))
     steps = F.array(*[F.lit(v) for v in sorted({_value(y) - _value(x) for x, y in confusions()})])
     keyed = rare.select("word", F.col("n").alias("rare_n"), anagram_value(F.col("word")).alias("av")).select("word", "rare_n", F.explode(F.transform(steps, lambda d: F.col("av") + d)).alias("k"))
     frequent = words.where(F.col("n") >= FREQUENT).select(F.col("word").alias("meant"), "n", anagram_value(F.col("word")).alias("k"))
@@ -338,7 +343,7 @@ def damage(parsed: DataFrame) -> DataFrame:
     """
     flagged = parsed.where("parsed_id is not null and text is not null and trim(text) <> ''").select("parsed_id", is_scan().alias("scanned"), "text")
     vocabulary = durable(flagged.select("scanned", "text").mapInArrow(_count, "word string, clean long, scan long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")))
-    top = vocabulary.where("clean > 0").orderBy(F.desc(F.col("clean") + F.col("scan")), "word").limit(STOP_WORDS)
+    top = vocabulary.where("clean > 0").where(~_rare(vocabulary)).orderBy(F.desc(F.col("clean") + F.col("scan")), "word").limit(STOP_WORDS)
     stop = frozenset(r[0] for r in top.select("word").collect())
     marks = durable(flagged.where("scanned").select("parsed_id", "text").mapInArrow(lambda it: _mark(stop, it), _MARK).distinct())
     right = durable(corrections(vocabulary))

@@ -65,6 +65,14 @@ def test_damage_and_repair(spark):
     assert scans.damage(df.where("false")).count() == 0
 
 
+def test_a_misread_word_that_a_clean_text_has_once(spark):
+    rows = [(i, BODY + (" tbe" if i == 100 else ""), "/notes/a.md", None) for i in range(100, 130)]
+    rows += [(i, "A quiet report\n\nthe quiet engineer described\ntbe narrow result in the annex.", "/x/scans/a.pdf", None) for i in range(8)]
+    df = spark.createDataFrame(rows, "parsed_id long, text string, source string, metadata string")
+    got = {(r.parsed_id, r.line_no, r.word, r.meant) for r in scans.damage(df).where("fault = 'glyph'").collect()}
+    assert got == {(i, 4, "tbe", "the") for i in range(8)}
+
+
 # ---- problem 4
 
 
