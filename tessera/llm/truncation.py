@@ -1,7 +1,9 @@
 """Problem 8: texts cut off by a field limit or a broken transfer.
 
-A stack automaton reads each text once and tells what is still open at its end:
-brackets, quotes, fences, markup, escapes, a broken character. Where nothing is
+Texts that begin like JSON go through a stack automaton as a whole, other texts only
+with a last line that ends in a closer; fences are counted over the whole text, and
+the last line is looked at for open quotes, brackets, markup and escapes. What other
+texts have open since earlier lines isn't seen. Where nothing is
 open and the last sentence has its terminator the text is whole; a mark of a
 cut, an open structure or prose without a terminator is a cut. What remains are
 short last lines without a terminator, which may be whole titles, tag lines or
