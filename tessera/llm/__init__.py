@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """The queries of this package by name."""
-    found = [neardup.p1_found, neardup.p1_classes, scans.p2_found, scans.p2_repaired, groups.p3_found, boilerplate.p4_found, boilerplate.p4_main, split.p5_found, split.p5_chunks, tokenize.p6_ids, leaks.p7_found, leaks.p7_scrubbed, truncation.p8_found, truncation.p8_rates]
+    found = [neardup.p1_found, neardup.p1_classes, scans.p2_found, scans.p2_repaired, groups.p3_found, boilerplate.p4_found, boilerplate.p4_main, split.p5_found, split.p5_chunks, split.p5_cover, tokenize.p6_ids, leaks.p7_found, leaks.p7_scrubbed, truncation.p8_found, truncation.p8_rates]
     return {f.__name__: f for f in found}
 
 

@@ -1,16 +1,20 @@
 """Problem 5: splitting oversized texts at natural boundaries.
 
 Every place where a text may be cut has a strength. A sparse table answers
-"the strongest cut among these, the rightmost of equals" in constant time, so a
-text of n characters costs O(n + c log c) for its c cuts, however long it is.
+"the strongest cut among these, the rightmost of equals" in constant time. It is
+built for a stretch of cuts at a time and only as high as one window needs, so a
+text of c cuts costs O(c log w) for windows of w cuts, and memory stays small
+however long the text is.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.arrow import per_row
 from tessera.sources.tables import table
@@ -22,10 +26,13 @@ BOUNDARIES = ("none", "word", "sentence", "paragraph")
 LIMIT, OVERLAP = 1600, 160
 _CUT = re.compile(r"[ \t\r\n\f]+|(?<=[。！？])(?![ \t\r\n\f])")
 
+#: Ends, next starts and strengths of the cuts of a text.
+Cuts = tuple[array, array, array]
 
-def cuts_of(text: str) -> tuple[list[int], list[int], list[int]]:
+
+def cuts_of(text: str) -> Cuts:
     """Ends, next starts and strengths of the cuts inside a text that has no blanks at its ends."""
-    ends, starts, strengths = [], [], []
+    ends, starts, strengths = array("q"), array("q"), array("b")
     for m in _CUT.finditer(text):
         a, b = m.span()
         if 0 < a and b < len(text):
@@ -35,43 +42,61 @@ def cuts_of(text: str) -> tuple[list[int], list[int], list[int]]:
     return ends, starts, strengths
 
 
+def cuts_at(cuts: Cuts, level: int) -> Cuts:
+    """Those of the cuts that a boundary allows: a word's are all blanks, and a sign that ends a sentence without a blank is none."""
+    ends, starts, strengths = cuts
+    keep = [i for i, s in enumerate(strengths) if (s >= level if level > 1 else starts[i] > ends[i])]
+    return array("q", [ends[i] for i in keep]), array("q", [starts[i] for i in keep]), array("b", [strengths[i] for i in keep])
+
+
 class RangeMax:
-    """Sparse table over strengths: place of the greatest value in [lo, hi), the rightmost of equals."""
+    """Sparse table over strengths: place of the greatest value in [lo, hi), the rightmost of equals.
+
+    Windows come in ascending order; the table holds `stretch` values from the window's start on.
+    """
+
+    def __init__(self, values: array | list[int], stretch: int = 1 << 13) -> None:
+        self.values, self.stretch = values, stretch
+        self.at = self.upto = 0
+        self.rows: list[list[int]] = []
 
-    def __init__(self, values: list[int]) -> None:
-        n = len(values)
+    def _build(self, lo: int, hi: int) -> None:
+        self.at, self.upto = lo, min(len(self.values), max(hi, lo + self.stretch))
+        n = self.n = self.upto - lo
         # strength and place in one number: the greater place wins a tie
-        self.rows = [[v * n + i for i, v in enumerate(values)]]
-        self.n, w = n, 1
-        while 2 * w <= n:
-            low = self.rows[-1]
-            self.rows.append([a if a > b else b for a, b in zip(low, low[w:])])  # noqa: B905
-            w *= 2
+        self.rows = [[v * n + i for i, v in enumerate(self.values[lo : self.upto])]]
 
     def best(self, lo: int, hi: int) -> int:
+        if lo < self.at or hi > self.upto:
+            self._build(lo, hi)
         k = (hi - lo).bit_length() - 1
+        while len(self.rows) <= k:
+            w, low = 1 << (len(self.rows) - 1), self.rows[-1]
+            self.rows.append([a if a > b else b for a, b in zip(low, low[w:])])  # noqa: B905
         row = self.rows[k]
-        return max(row[lo], row[hi - (1 << k)]) % self.n
+        return self.at + max(row[lo - self.at], row[hi - self.at - (1 << k)]) % self.n
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = 0) -> list[tuple[int, int, int]]:
+def split_text(text: str, limit: int = LIMIT, overlap: int = 0, cuts: Cuts | None = None) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at the end) of each piece of a text without blanks at its ends.
 
-    No piece is over `limit` characters. Each cut is the strongest within reach,
-    the rightmost of equals; where there is none the text is cut at the limit
-    (strength 0). With an overlap each piece but the first begins `overlap`
-    characters before the end of the one before it, but never before its
-    start; without, it begins after the blanks of the cut. The last strength is 3.
+    No piece is over `limit` characters. Each cut is the strongest that leaves a piece of
+    over `overlap` and at most `limit` characters, the rightmost of equals; where there is
+    none the text is cut at the limit (strength 0). With an overlap each piece
+    but the first begins exactly `overlap` characters before the end of the one before it, so
+    every piece goes further than the last and no character is lost; only where the blanks after a cut
+    fill all that remains does the next piece begin behind them. Without an overlap it begins after the
+    blanks of the cut. The last strength is 3. `cuts` are the cuts to use, by default all of the text's.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be at least 0 and under the limit")
     n = len(text)
     if n <= limit:
         return [(0, n, 3)] if n else []
-    ends, starts, strengths = cuts_of(text)
-    table_, pieces, at, done = RangeMax(strengths), [], 0, 0
+    ends, starts, strengths = cuts_of(text) if cuts is None else cuts
+    table_, pieces, at = RangeMax(strengths), [], 0
     while n - at > limit:
-        lo, hi = bisect_right(ends, done), bisect_right(ends, at + limit)
+        lo, hi = bisect_right(ends, at + overlap), bisect_right(ends, at + limit)
         if lo < hi:
             i = table_.best(lo, hi)
             end, nxt, strength = ends[i], starts[i], strengths[i]
@@ -79,8 +104,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = 0) -> list[tuple[in
             end = nxt = at + limit
             strength = 0
         pieces.append((at, end, strength))
-        done = max(end, nxt - 1) if not overlap else end
-        at = nxt if not overlap else end - overlap
+        at = nxt if not overlap or nxt - end >= limit - overlap else end - overlap
     pieces.append((at, n, 3))
     return pieces
 
@@ -88,12 +112,16 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = 0) -> list[tuple[in
 def boundary_of(text: str, limit: int = LIMIT) -> str | None:
     """The strongest boundary at which all cuts can be made; null for a text of at most `limit` characters.
 
-    Cutting at the strongest boundary in reach falls back to a weaker kind only
-    where a stretch without the stronger kinds is over the limit, so the weakest
-    cut made is the answer.
+    The text is split with the cuts of one boundary after the other; the first that never has to cut at the limit is it.
     """
     text = text.strip(BLANK)
-    return BOUNDARIES[min(p[2] for p in split_text(text, limit))] if len(text) > limit else None
+    if len(text) <= limit:
+        return None
+    cuts = cuts_of(text)
+    for level in (3, 2, 1):
+        if all(strength for _, _, strength in split_text(text, limit, 0, cuts_at(cuts, level))):
+            return BOUNDARIES[level]
+    return BOUNDARIES[0]
 
 
 def boundaries(df: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -110,19 +138,19 @@ def boundaries(df: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def pieces(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(parsed_id, index, text, boundary) of `df` (parsed_id, text): pieces numbered from 0.
+    """(parsed_id, index, start, text, boundary) of `df` (parsed_id, text): pieces numbered from 0, with the place of their first character.
 
-    `boundary` is the kind of the cut at the piece's end, `paragraph` for the
+    Places are those of the text without blanks at its ends. `boundary` is the kind of the cut at the piece's end, `paragraph` for the
     last. A text within the limit is one piece; null and blank texts have none.
     A row delivered more than once counts once.
     """
 
     def one(key, text):  # noqa: ANN001, ANN202
         text = (text or "").strip(BLANK)
-        return [(key, i, text[a:b], BOUNDARIES[s]) for i, (a, b, s) in enumerate(split_text(text, limit, overlap))]
+        return [(key, i, a, text[a:b], BOUNDARIES[s]) for i, (a, b, s) in enumerate(split_text(text, limit, overlap))]
 
     once = df.select("parsed_id", "text").where("text is not null").dropDuplicates(["parsed_id"])
-    return per_row(once, lambda: one, "parsed_id long, index int, text string, boundary string")
+    return per_row(once, lambda: one, "parsed_id long, index int, start long, text string, boundary string")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,3 +161,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk pieces of all parsed documents, 1,600 characters with an overlap of 160."""
     return pieces(table(spark, sf_dir, "parsed_documents", "parsed_id", "text"))
+
+
+def p5_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(parsed_id, chars, digest, empty, over) of all parsed documents: what the pieces of `p5_chunks` give when they are put together again.
+
+    `chars` and `digest` (MD5) are those of the pieces' text without what the piece before holds already and without blanks;
+    `empty` and `over` count pieces of blanks only and pieces over the limit.
+    """
+    got = p5_chunks(spark, sf_dir)
+    per = got.groupBy("parsed_id").agg(F.array_sort(F.collect_list(F.struct("index", "start", "text"))).alias("p"), F.count_if(F.trim("text") == "").alias("empty"), F.count_if(F.length("text") > LIMIT).alias("over"))
+    upto = F.concat(F.array(F.lit(0).cast("long")), F.transform("p", lambda x: x["start"] + F.length(x["text"])))
+    own = F.transform("p", lambda x, i: F.substr(x["text"], F.greatest(F.get(upto, i) - x["start"], F.lit(0)).cast("int") + 1))
+    whole = F.translate(F.concat_ws("", own), BLANK, "")
+    return per.select("parsed_id", F.length(whole).cast("long").alias("chars"), F.md5(whole.cast("binary")).alias("digest"), "empty", "over")

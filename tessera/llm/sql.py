@@ -27,9 +27,11 @@ P5 = rf"""WITH t as (select distinct parsed_id, regexp_replace(text,'^{_B}+|{_B}
  s as (select parsed_id, t, regexp_split_to_array(t,'\n{_B}*\n') as p, string_split(regexp_replace(regexp_replace(regexp_replace(t,'\n{_B}*\n',chr(1),'g'),'([.!?]){_B}+','\1'||chr(1),'g'),'([。！？])','\1'||chr(1),'g'),chr(1)) as q, regexp_split_to_array(t,'{_B}+') as w from t where length(t)>1600)
  select distinct parsed_id, case when {_LONGEST.format("p")}<=1600 then 'paragraph' when {_LONGEST.format("q")}<=1600 then 'sentence' when {_LONGEST.format("w")}<=1600 then 'word' else 'none' end as boundary from s"""
 
+P5_COVER = rf"""SELECT parsed_id, length(t) as chars, md5(t) as digest, 0 as empty, 0 as over from (select distinct parsed_id, regexp_replace(text,'{_B}+','','g') as t from parsed_documents where text is not null) where t<>''"""
+
 P7 = f"""WITH d as (select doc_id, {_WORDS} as w from documents where text is not null), i as (select item_id, {_WORDS} as w from eval_items where text is not null),
  dg as (select distinct doc_id, array_to_string(w[k:k+11],' ') as g from (select doc_id, w, unnest(range(1,len(w)-10)) as k from d where len(w)>=12)),
  ig as (select distinct item_id, array_to_string(w[k:k+11],' ') as g from (select item_id, w, unnest(range(1,len(w)-10)) as k from i where len(w)>=12))
  select distinct doc_id, item_id from dg join ig using (g)"""
 
-SQL = {"p1_found": P1, "p3_found": P3, "p5_found": P5, "p7_found": P7}
+SQL = {"p1_found": P1, "p3_found": P3, "p5_found": P5, "p5_cover": P5_COVER, "p7_found": P7}

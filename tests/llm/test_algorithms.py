@@ -194,20 +194,32 @@ def test_boundary(text, limit):
     assert split.boundary_of(text, limit) == brute_boundary(text, limit)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab. \n。", max_size=120), st.integers(3, 30), st.integers(0, 2))
-def test_pieces_cover_the_text(text, limit, overlap):
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab. \n。", max_size=120), st.integers(3, 30), st.data())
+def test_pieces_cover_the_text(text, limit, data):
+    overlap = data.draw(st.integers(0, limit - 1))
     text = text.strip(split.BLANK)
     got = split.split_text(text, limit, overlap)
-    assert all(0 < b - a <= limit for a, b, _ in got)
-    covered = set()
+    assert all(0 <= a < b and b - a <= limit for a, b, _ in got)
+    rest, upto = "", 0
     for a, b, _ in got:
-        covered |= set(range(a, b))
-    assert all(i in covered for i, c in enumerate(text) if c not in split.BLANK)
-    if overlap:
-        assert all(b2[0] == a[1] - overlap or b2[0] >= a[0] for a, b2 in zip(got, got[1:], strict=False))
-    else:
-        assert "".join(text[a:b] for a, b, _ in got) == "".join(c for i, c in enumerate(text) if i in covered)
+        assert b > upto and not text[upto:a].strip(split.BLANK)
+        assert not overlap or not upto or a == upto - overlap or text[upto : upto + limit - overlap].strip(split.BLANK) == ""
+        rest += text[max(a, upto) : b]
+        upto = b
+    assert "".join(rest.split()) == "".join(text.split()) and upto == len(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 8), st.data())
+def test_range_max(values, stretch, data):
+    table = split.RangeMax(values, stretch)
+    lo = 0
+    for _ in range(5):
+        lo = data.draw(st.integers(lo, len(values) - 1))
+        hi = data.draw(st.integers(lo + 1, len(values)))
+        most = max(values[lo:hi])
+        assert table.best(lo, hi) == max(i for i in range(lo, hi) if values[i] == most)
 
 
 def test_strongest_cut_wins_and_ties_go_right():
@@ -225,4 +237,5 @@ def test_split_tables(spark):
     got = split.pieces(df).collect()
     assert {r.parsed_id for r in got} == {1, 4, 5} and max(len(r.text) for r in got) <= 1600
     assert sorted(r["index"] for r in got if r.parsed_id == 1) == [0, 1, 2]
+    assert all(r.text == dict(rows)[r.parsed_id].strip(split.BLANK)[r.start : r.start + len(r.text)] for r in got)
     assert split.boundaries(df.where("false")).count() == 0
