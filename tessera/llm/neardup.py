@@ -5,7 +5,9 @@ of at least t. The join loses no link:
 
 * texts with equal shingle sets become one class, so copies cost nothing;
 * two sets of at least that similarity share a shingle among the rarest
-  (1 - t) * size + 1 of each, so only those shingles lead to a bucket;
+  (1 - t) * size + 1 of each, so only those shingles lead to a bucket. A set's place for a
+  shingle in the order by rarity bounds what can follow it, and so the sizes a partner may have: rows
+  that no other row of their bucket can be linked with go before anything is compared;
 * inside a bucket each text is a bit sketch (for each bit, the parity of the
   shingles hashed to it). Sets that differ in d shingles differ in at most d bits, and
   d <= (a + b) * (1 - t) / (1 + t) for linked sets of sizes a and b: an error budget.
@@ -15,13 +17,15 @@ of at least t. The join loses no link:
 * what is left is checked on the exact sets.
 
 All tries of a task are one sorted array and the walk goes level by level over
-arrays of node pairs, so nothing is done per pair in Python.
-
-Buckets over a bound are cut into blocks. Each block is joined with itself, with
-union-find keeping only a spanning forest of its verified links; texts outside
-the largest component of their bucket then meet the other blocks. So a group of
-near-copies of a third of all rows is never paired in one task, nor are all its
-pairs made.
+arrays of node pairs, so nothing is done per pair in Python. Shingles travel in packed rows, one for
+each batch of texts and partition, in which a text's sketch stands once.
+
+Buckets of over SMALL texts are never paired in full. They are cut into blocks, and in a block
+union-find keeps only a spanning forest of its verified links. First each text is joined in two
+buckets, whose blocks share two texts; this makes one component of a group of near-copies. Buckets of one
+component are then done. In others a text stays only if enough of its shingles
+occur in the bucket again to be linked at all, which ends buckets of a common phrase, and texts outside the largest component of what is left
+meet the other blocks.
 """
 
 from __future__ import annotations
@@ -42,18 +46,17 @@ from tessera.plans.durable import durable
 from tessera.sources.tables import table
 
 _WORD = re.compile(r"[^\W_]+")
-#: Bits of a sketch: wide enough to tell texts of a few hundred words apart.
-BITS = 512
-#: Counters of the frequency sketch that orders shingles; 16 MB, whatever the corpus.
-COUNTERS = 1 << 22
+#: Bytes of the sketch that the trie is made of, and of the wide one that sets of over WIDE_FROM shingles have as well; the narrow is the wide one folded.
+NARROW, WIDE, WIDE_FROM = 16, 64, 80
+#: Most counters of the frequency sketch that orders shingles; smaller inputs have fewer. One byte each when broadcast: 16 MB.
+MOST_COUNTERS = 1 << 24
 _SLICES = 512
-#: Texts of a bucket that are joined in one block.
-BLOCK = 2048
-#: Postings in one task, about 25 MB of sketches.
-POSTINGS_PER_TASK = 250_000
-#: Node pairs that are walked at once.
-PAIRS = 1 << 18
-_BYTES = BITS // 8
+#: Texts of a bucket whose candidates are listed as pairs, and texts that are joined in one block beyond.
+SMALL, BLOCK = 64, 2048
+#: Postings in one task, about 15 MB.
+POSTINGS_PER_TASK = 500_000
+#: Node pairs and rows that are walked at once.
+PAIRS, ROWS = 1 << 18, 1 << 15
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -63,33 +66,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Text to the sorted 64-bit hashes of its distinct runs of `width` words; none for a text under `least` words."""
-
-    def __init__(self, width: int, least: int) -> None:
-        self.width, self.least, self.known = width, max(least, width), {}
+class _Known(dict):
+    """Hashes of words; forgets all when it is large."""
 
-    def __call__(self, text: str | None) -> np.ndarray | None:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        words = _WORD.findall(text.lower()) if text else []
-        if len(words) < self.least:
-            return None
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        h = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w) or 1) for w in words), dtype=np.uint64, count=len(words))
-        n = len(h) - self.width + 1
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+class Shingler:
+    """Texts to the sorted 64-bit hashes of their distinct runs of `width` words; none for a text under `least` words."""
+
+    def __init__(self, width: int, least: int) -> None:
+        self.width, self.least, self.known = width, max(least, width), _Known()
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
+        """Places of the texts that take part, and the set of each."""
+        at, lengths, words = [], [], []
+        for i, text in enumerate(texts):
+            if text and len(w := _WORD.findall(text.lower())) >= self.least:
+                at.append(i)
+                lengths.append(len(w))
+                words += w
+        h = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+        n = max(0, len(h) - self.width + 1)
         out = np.zeros(n, dtype=np.uint64)
         for i in range(self.width):
             out = _mix(out * _M1 + h[i : i + n] + np.uint64(i))
-        return np.unique(out)
+        ends = np.cumsum(lengths)
+        # runs that cross from one text into the next are not looked at
+        return at, [np.unique(out[b - n : b - self.width + 1]) for b, n in zip(ends.tolist(), lengths, strict=True)]
 
 
-def parity_sketch(shingles: np.ndarray, bits: int = BITS) -> bytes:
-    """For each bit, whether an odd number of shingles is hashed to it."""
-    count = np.bincount((_mix(shingles * _M2) % np.uint64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+def parity_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set and bit, whether an odd number of shingles is hashed to it: narrow sketches of all sets, and wide ones."""
+    bits = WIDE * 8
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = (_mix(flat * _M2) % np.uint64(bits)).astype(np.int64) + row * bits
+    wide = np.packbits((np.bincount(at, minlength=len(sets) * bits) & 1).astype(np.uint8)).reshape(len(sets), WIDE)
+    return np.bitwise_xor.reduce(wide.reshape(len(sets), WIDE // NARROW, NARROW), axis=1), wide
 
 
 def prefix_size(size: int, t: float) -> int:
@@ -101,55 +121,78 @@ def _budget(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.floor((a + b) * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
 
 
-def trie_join(bucket: np.ndarray, sketch: np.ndarray, size: np.ndarray, t: float, known: np.ndarray | None = None, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Rows:
+    """Rows of buckets that are joined: a bucket number, a sketch, the set's size, and what else decides about pairs.
+
+    place: how many rarer shingles the set has than the bucket's; a linked pair is kept in the bucket
+    of its first common shingle at least, so a place too far back drops it elsewhere. part: a component per row, and rows known
+    to be connected are not paired. side: only rows of different sides are. wide: sketches of larger sets, by row, in `wide_at`
+    (-1 for none).
+    """
+
+    def __init__(self, bucket, sketch, size, place=None, part=None, side=None, wide=None, wide_at=None) -> None:  # noqa: ANN001
+        words = np.ascontiguousarray(sketch).view(">u8").reshape(len(sketch), sketch.shape[1] // 8)
+        self.order = np.lexsort((*words.T[::-1], bucket))
+        self.words = np.ascontiguousarray(words[self.order])
+        self.bucket, self.sketch, self.size = bucket[self.order], sketch[self.order], size[self.order].astype(np.int64)
+        self.place, self.part, self.side, self.wide_at = (None if x is None else x[self.order] for x in (place, part, side, wide_at))
+        self.wide = None if wide is None else np.ascontiguousarray(wide).view(np.uint64).reshape(len(wide), wide.shape[1] // 8)
+        self.first = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.order) else np.zeros(0, np.int64)
+        self.last = np.append(self.first[1:], len(self.order)) if len(self.order) else self.first
+
+
+def trie_join(rows: Rows, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one bucket whose sketches differ within their budget, as arrays of row numbers.
 
-    bucket: a number per row; sketch: rows of bytes; size: shingles per row. With
-    `known` (a component per row), rows known to be connected are not paired;
-    with `side`, only rows of different sides are. The trie is the sorted order of
-    (bucket, sketch): a node is a range of rows that agree on all bits so far, and
-    the first level below the root is the bucket.
+    The trie is the sorted order of (bucket, sketch): a node is a range of rows
+    that agree on all bits so far, and the first level below the root is the bucket.
     """
-    words = sketch.view(">u8").reshape(len(sketch), -1)
-    order = np.lexsort((*words.T[::-1], bucket))
-    bucket, sketch, size = bucket[order], sketch[order], size[order]
-    words = np.ascontiguousarray(words[order])
-    n, bits = len(order), sketch.shape[1] * 8
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    last = np.append(first[1:], n)
-    most = np.maximum.reduceat(size, first)
-    keep = last - first > 1
-    first, last, most = first[keep], last[keep], most[keep]
+    keep = rows.last - rows.first > 1
+    first, last = rows.first[keep], rows.last[keep]
     if not len(first):
         return
-    part = None if known is None else known[order]
-    sides = None if side is None else side[order]
+    most = np.maximum.reduceat(rows.size, rows.first)[keep]
+    top = _budget(most, most, t)
+    # some buckets at a time, so that what is kept of a level is small
+    at = 0
+    while at < len(first):
+        upto = max(at + 1, int(np.searchsorted(last, first[at] + ROWS, "right")))
+        yield from _walk(rows, first[at:upto], last[at:upto], top[at:upto], t)
+        at = upto
+
+
+def _walk(rows: Rows, first: np.ndarray, last: np.ndarray, top: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    base, upto = int(first[0]), int(last[-1])
+    sketch, bits = rows.sketch[base:upto], rows.sketch.shape[1] * 8
+    zeros_of: dict[int, np.ndarray] = {}
+    part = None if rows.part is None else rows.part[base:upto]
+    run = None if part is None else np.concatenate([[0], np.cumsum(part[1:] != part[:-1])])
+    first, last = first - base, last - base
     # frontier: ranges of the two nodes, bits that differ so far, the bucket's largest budget, the next bit
-    stack = [(first, last, first, last, np.zeros(len(first), dtype=np.int64), _budget(most, most, t), 0)]
+    stack = [(first, last, first, last, np.zeros(len(first), dtype=np.int64), top, 0)]
     while stack:
         a0, a1, b0, b1, diff, top, bit = stack.pop()
         if len(a0) > PAIRS:
             half = len(a0) // 2
             stack += [tuple(x[:half] for x in (a0, a1, b0, b1, diff, top)) + (bit,), tuple(x[half:] for x in (a0, a1, b0, b1, diff, top)) + (bit,)]
             continue
-        if part is not None and bit % 16 == 0:
+        if run is not None and bit % 16 == 0:
             # a pair of nodes all of whose rows are known to be connected has nothing to add
-            run = np.concatenate([[0], np.cumsum(part[1:] != part[:-1])])
             one = (run[a0] == run[a1 - 1]) & (run[b0] == run[b1 - 1]) & (part[a0] == part[b0])
             a0, a1, b0, b1, diff, top = (x[~one] for x in (a0, a1, b0, b1, diff, top))
         small = (a1 - a0) * (b1 - b0) <= 16
         if bit >= bits:
             small[:] = True
         if small.any():
-            yield from _leaves(a0[small], a1[small], b0[small], b1[small], words, size, t, part, sides, order)
+            yield from _leaves(rows, a0[small] + base, a1[small] + base, b0[small] + base, b1[small] + base, t)
         if small.all():
             continue
         a0, a1, b0, b1, diff, top = (x[~small] for x in (a0, a1, b0, b1, diff, top))
-        zeros = np.concatenate([[0], np.cumsum((sketch[:, bit >> 3] >> (7 - (bit & 7)) & 1) == 0)])
+        if (zeros := zeros_of.get(bit)) is None:
+            zeros = zeros_of[bit] = np.concatenate([[0], np.cumsum((sketch[:, bit >> 3] >> (7 - (bit & 7)) & 1) == 0)])
         # rows of a node are sorted, so those with a 0 in this bit come first
         am, bm = a0 + zeros[a1] - zeros[a0], b0 + zeros[b1] - zeros[b0]
-        same = (a0 == b0) & (a1 == b1)
-        cross = ~same
+        cross = ~((a0 == b0) & (a1 == b1))
         nxt = [
             (a0, am, b0, bm, diff, top),
             (am, a1, bm, b1, diff, top),
@@ -163,128 +206,216 @@ def trie_join(bucket: np.ndarray, sketch: np.ndarray, size: np.ndarray, t: float
             stack.append(tuple(c[alive] for c in cols) + (bit + 1,))
 
 
-def _leaves(a0, a1, b0, b1, words, size, t, part, sides, order):  # noqa: ANN001, ANN202
+def _leaves(rows: Rows, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of small nodes, checked on whole sketches."""
     na, nb = a1 - a0, b1 - b0
     total = na * nb
+    twins = (a0 == b0) & (a1 == b1)
     at = 0
     while at < len(total):
         upto = at + max(1, int(np.searchsorted(np.cumsum(total[at:]), PAIRS, "right")))
         n = total[at:upto]
         which = np.repeat(np.arange(at, upto), n)
         off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        i, j = a0[which] + off // nb[which], b0[which] + off % nb[which]
+        row, col = np.divmod(off, nb[which])
+        i, j = a0[which] + row, b0[which] + col
         at = upto
-        ok = i < j
         # pairs of one node with itself have each pair twice; pairs of two nodes have it once, in either order
-        twin = (a0[which] == b0[which]) & (a1[which] == b1[which])
-        ok |= ~twin & (i != j)
-        si, sj = size[i], size[j]
-        ok &= np.minimum(si, sj) >= t * np.maximum(si, sj) - 1e-9
-        if part is not None:
-            ok &= part[i] != part[j]
-        if sides is not None:
-            ok &= sides[i] != sides[j]
+        ok = (i < j) | ~twins[which] & (i != j)
+        if rows.part is not None:
+            ok &= rows.part[i] != rows.part[j]
+        if rows.side is not None:
+            ok &= rows.side[i] != rows.side[j]
         i, j = i[ok], j[ok]
+        si, sj = rows.size[i], rows.size[j]
+        ok = np.minimum(si, sj) >= t * np.maximum(si, sj) - 1e-9
+        if rows.place is not None:
+            ok &= np.minimum(si - rows.place[i], sj - rows.place[j]) >= (si + sj) * (t / (1 + t)) - 1e-9
+        i, j, si, sj = i[ok], j[ok], si[ok], sj[ok]
+        if not len(i):
+            continue
+        most = _budget(si, sj, t)
+        ok = np.bitwise_count(rows.words[i] ^ rows.words[j]).sum(1, dtype=np.int64) <= most
+        i, j, most = i[ok], j[ok], most[ok]
+        if rows.wide is not None and len(i):
+            wi, wj = rows.wide_at[i], rows.wide_at[j]
+            both = np.flatnonzero((wi >= 0) & (wj >= 0))
+            far = np.bitwise_count(rows.wide[wi[both]] ^ rows.wide[wj[both]]).sum(1, dtype=np.int64) > most[both]
+            ok = np.ones(len(i), bool)
+            ok[both[far]] = False
+            i, j = i[ok], j[ok]
         if len(i):
-            d = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
-            ok = d <= _budget(size[i], size[j], t)
-            if ok.any():
-                yield order[i[ok]], order[j[ok]]
+            yield rows.order[i], rows.order[j]
 
 
 # ---- stages
 
 
-def _classes(width: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _arrow(names: str, *cols: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(cols), names=names.split())
+
+
+def _shingled(width: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = Shingler(width, least)
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            ids, digest, sets = [], [], []
-            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                s = shingle(text)
-                if s is not None:
-                    ids.append(i)
-                    sets.append(s.view(np.int64))
-                    # two independent sums of the set: 128 bits that are equal for equal sets
-                    digest.append(int(_mix(s * _M1).sum()).to_bytes(8, "little") + int(_mix(s * _M3).sum()).to_bytes(8, "little"))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "digest", "shingles"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(COUNTERS, dtype=np.uint32)
+            places, sets = shingle(part.column(1).to_pylist())
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            # two independent sums of the set: 128 bits that are equal for equal sets
+            first = np.cumsum([0] + [len(s) for s in sets[:-1]])
+            sums = [np.add.reduceat(_mix(flat * m), first) if sets else flat for m in (_M1, _M3)]
+            digest = [a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)]
+            yield _arrow("id digest shingles", part.column(0).take(pa.array(places, pa.int64())), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()))
+
+
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint64)
+
+
+def _counted(counters: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(counters, dtype=np.uint32)
     for batch in batches:
-        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        at, n = np.unique((flat % np.uint64(COUNTERS)).astype(np.int64), return_counts=True)
-        count[at] += n.astype(np.uint32)
-    for i, x in enumerate(count.reshape(_SLICES, -1)):
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "counts"])
+        for at in range(0, batch.num_rows, 4096):
+            flat = _set(b"".join(batch.column(0).slice(at, 4096).to_pylist()))
+            slot, n = np.unique(flat & np.uint64(counters - 1), return_counts=True)
+            count[slot.astype(np.int64)] += n.astype(np.uint32)
+    for i, x in enumerate(np.minimum(count, 65535).astype(np.uint16).reshape(_SLICES, -1)):
+        if x.any():
+            yield _arrow("slice counts", pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()))
 
 
 def _summed(part: pd.DataFrame) -> pd.DataFrame:
-    out = np.zeros(COUNTERS // _SLICES, dtype=np.uint64)
-    for x in part["counts"]:
-        out += np.frombuffer(x, dtype=np.uint32)
-    return pd.DataFrame({"slice": part["slice"][:1], "counts": [np.minimum(out, 2**32 - 1).astype(np.uint32).tobytes()]})
+    total = sum(np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in part["counts"])
+    return pd.DataFrame({"slice": part["slice"][:1], "ranks": [rank_of(total).tobytes()]})
+
+
+def rank_of(count: np.ndarray) -> np.ndarray:
+    """Counts on a scale of one byte that keeps their order: 0 for at most one, then eight steps for each doubling."""
+    return np.where(count <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(count, 1))))).astype(np.uint8)
+
+
+def shingle_ranks(shingled: DataFrame, counters: int) -> np.ndarray:
+    """How frequent the shingles of each counter are together, by `rank_of`: a table of fixed size, counted over all rows.
+
+    Only the order by rarity and what is certainly a shingle of one text are taken from it, so its noise costs time but no link.
+    """
+    parts = shingled.select("shingles").mapInArrow(partial(_counted, counters), "slice int, counts binary").groupBy("slice").applyInPandas(_summed, "slice int, ranks binary").collect()
+    out = np.zeros(counters, dtype=np.uint8)
+    for r in parts:
+        out[r["slice"] * (counters // _SLICES) :][: counters // _SLICES] = np.frombuffer(r["ranks"], dtype=np.uint8)
+    return out
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """Upper bounds of the shingles' frequencies, by hash: a sketch of fixed size, counted over all sets."""
-    parts = sets.select("shingles").mapInArrow(_counted, "slice int, counts binary").groupBy("slice").applyInPandas(_summed, "slice int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r.counts, dtype=np.uint32) for r in sorted(parts, key=lambda r: r.slice)])
+_PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary, hot_key long, hot_code long, hot_size int, hot_place int"
 
 
-def _postings(counts, t: float, block: int, want_hot: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    count = counts.value
+def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Rare shingles of sets (code, shingles), packed by partition; those that may be in a large share of all texts come out one by one."""
+    rank = ranks.value
+    names = _PACKED.replace(" binary", "").replace(" int", "").replace(" long", "").replace(",", "")
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            key, code, size, sketch = [], [], [], []
-            for c, s in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                s = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                n = prefix_size(len(s), t)
-                f = count[(s % np.uint64(COUNTERS)).astype(np.int64)]
-                rare = np.lexsort((s, f))[:n]
-                # a shingle counted once stands in no other set; the count is an upper bound, so up to `block` the bucket is surely within it
-                f = f[rare]
-                got = s[rare[(f > block) if want_hot else (f > 1) & (f <= block)]]
-                if len(got):
-                    key.append(got)
-                    k = len(got)
-                    code.append(np.full(k, c, dtype=np.int64))
-                    size.append(np.full(k, len(s), dtype=np.int32))
-                    sketch += [parity_sketch(s)] * k
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(code)), pa.array(np.concatenate(size)), pa.array(sketch, pa.binary())], names=["key", "code", "size", "sketch"])
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got).combine_chunks() if got else None
-
-
-def _sketches(col: pa.ChunkedArray) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    start = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset]
-    return np.frombuffer(col.buffers()[2], dtype=np.uint8)[start : start + len(col) * _BYTES].reshape(len(col), _BYTES)
-
-
-def _joined(t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of the buckets in a partition, each pair once per partition."""
-    rows = _rows(batches)
-    if rows is None:
+            sets = [_set(x) for x in part.column(1).to_pylist()]
+            if not sets:
+                continue
+            code, size = part.column(0).to_numpy(), np.array([len(s) for s in sets], dtype=np.int64)
+            flat = np.concatenate(sets)
+            f = rank[(flat & np.uint64(len(rank) - 1)).astype(np.int64)]
+            # sets are sorted and the sort is stable, so shingles of one rank are everywhere in the order of their hashes
+            ends = np.cumsum(size)
+            want = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+            own = [b - n_ + f[b - n_ : b].argsort(kind="stable")[:w] for b, n_, w in zip(ends.tolist(), size.tolist(), want.tolist(), strict=True)]
+            where = np.concatenate(own)
+            row = np.repeat(np.arange(len(sets)), want)
+            place = np.arange(len(where)) - np.repeat(np.cumsum(want) - want, want)
+            # a shingle counted once stands in no other set
+            some = f[where] > 0
+            where, row, place = where[some], row[some], place[some]
+            key, hot = flat[where], f[where] >= hot_rank
+            if hot.any():
+                k = int(hot.sum())
+                empty = [pa.nulls(k, pa.binary())] * 7
+                yield _arrow(names, pa.nulls(k, pa.int32()), *empty, pa.array(key[hot].view(np.int64)), pa.array(code[row[hot]]), pa.array(size[row[hot]].astype(np.int32)), pa.array(place[hot].astype(np.int32)))
+                key, row, place = key[~hot], row[~hot], place[~hot]
+            if not len(key):
+                continue
+            narrow, wide = parity_sketches(sets)
+            to = (_mix(key * _M3) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) > 0, [True]]))
+            cols: list[list] = [[] for _ in range(8)]
+            for a, b in zip(cut[:-1], cut[1:]):  # noqa: B905
+                o = order[a:b]
+                rows, of = np.unique(row[o], return_inverse=True)
+                big = rows[size[rows] > WIDE_FROM]
+                for c, x in zip(cols, (int(to[o[0]]), key[o], of.astype(np.uint16), place[o].astype(np.uint32), code[rows], size[rows].astype(np.uint32), narrow[rows], wide[big]), strict=True):
+                    c.append(x if isinstance(x, int) else x.tobytes())
+            m = len(cols[0])
+            none = [pa.nulls(m, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield _arrow(names, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), *none)
+
+
+def prune(key: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows, by bucket, that some other row of their bucket may be linked with, and how many those are in each row's bucket.
+
+    A linked set has at most size - place shingles in common from the bucket's on, which bounds
+    its partner's size from above; from below the similarity bounds it.
+    """
+    order = np.argsort(key, kind="stable")
+    while True:
+        k, n, p = key[order], size[order], place[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        if not len(first):
+            return order, np.zeros(0, np.int64)
+        group = np.cumsum(new) - 1
+        held = np.diff(np.append(first, len(k)))
+        upto = np.floor((n - p) * (1 + t) / t + 1e-9).astype(np.int64) - n
+        ok = (held[group] > 1) & (np.minimum.reduceat(n, first)[group] <= upto) & (np.maximum.reduceat(upto, first)[group] >= n)
+        if ok.all():
+            return order, held[group]
+        order = order[ok]
+
+
+_FOUND = "a long, b long, key long, code long, size int, place int"
+
+
+def _joined(t: float, small: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) of the small buckets in a partition, each pair once per partition, and the postings of its large ones."""
+    got: list[list[np.ndarray]] = [[] for _ in range(7)]
+    kinds = (np.uint64, np.uint16, np.uint32, np.int64, np.uint32, np.uint8, np.uint8)
+    held = 0
+    for batch in batches:
+        for raws in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for g, raw, kind in zip(got, raws, kinds, strict=True):
+                g.append(np.frombuffer(raw, dtype=kind))
+            got[1][-1] = got[1][-1].astype(np.int64) + held
+            held += len(got[3][-1])
+    if not held:
         return
-    key, code, size = (rows.column(c).to_numpy() for c in ("key", "code", "size"))
-    found = [np.zeros((0, 2), dtype=np.int64)]
-    for i, j in trie_join(key, _sketches(rows.column("sketch")), size.astype(np.int64), t):
-        a, b = code[i], code[j]
-        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    for at in range(0, len(pairs), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1])], names=["a", "b"])
+    key, of, place, code, size, narrow, wide = (np.concatenate(g) for g in got)
+    size, place = size.astype(np.int64), place.astype(np.int64)
+    narrow, wide = narrow.reshape(-1, NARROW), wide.reshape(-1, WIDE)
+    wide_at = np.where(size > WIDE_FROM, np.cumsum(size > WIDE_FROM) - 1, -1)
+    rows, n = prune(key, size[of], place, t)
+    large = rows[n > small]
+    for at in range(0, len(large), 100_000):
+        r = large[at : at + 100_000]
+        none = pa.nulls(len(r), pa.int64())
+        yield _arrow("a b key code size place", none, none, pa.array(key[r].view(np.int64)), pa.array(code[of[r]]), pa.array(size[of[r]].astype(np.int32)), pa.array(place[r].astype(np.int32)))
+    rows = rows[n <= small]
+    key, of, place = key[rows], of[rows], place[rows]
+    found = [np.zeros(0, np.int64)]
+    for i, j in trie_join(Rows(key, narrow[of], size[of], place, wide=wide, wide_at=wide_at[of]), t):
+        a, b = of[i], of[j]
+        found.append(np.unique(np.minimum(a, b) * len(code) + np.maximum(a, b)))
+    a, b = np.divmod(np.unique(np.concatenate(found)), len(code))
+    a, b = np.minimum(code[a], code[b]), np.maximum(code[a], code[b])
+    for at in range(0, len(a), 100_000):
+        k = len(a[at : at + 100_000])
+        yield _arrow("a b key code size place", pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()))
 
 
 def similar(a: np.ndarray, b: np.ndarray, t: float) -> bool:
@@ -296,19 +427,18 @@ def similar(a: np.ndarray, b: np.ndarray, t: float) -> bool:
 def _verified(t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, sa, sb = (batch.column(i) for i in range(4))
-        ok = [similar(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False), t) for x, y in zip(sa, sb, strict=True)]
-        mask = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+        mask = pa.array([similar(_set(x), _set(y), t) for x, y in zip(sa.to_pylist(), sb.to_pylist(), strict=True)], pa.bool_())
+        yield _arrow("a b", a.filter(mask), b.filter(mask))
 
 
 def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
     """Verified links of one block (or of one side of it with the other) that join what isn't joined yet."""
     code = part["code"].to_numpy()
-    sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part), _BYTES)
-    size = part["size"].to_numpy(dtype=np.int64)
+    sets = [_set(x) for x in part["shingles"]]
+    narrow, wide = parity_sketches(sets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
     known = part["root"].to_numpy() if "root" in part else None
     side = part["side"].to_numpy() if "side" in part else None
-    sets = part["shingles"].to_list()
     parent = list(range(len(code)))
     if known is not None:
         seen: dict[int, int] = {}
@@ -323,14 +453,15 @@ def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     label = np.array([root(x) for x in range(len(code))])
-    for i, j in trie_join(np.zeros(len(code), dtype=np.int64), sketch, size, t, known, side):
+    rows = Rows(np.zeros(len(code), dtype=np.int64), narrow, size, part=known, side=side, wide=wide, wide_at=np.where(size > WIDE_FROM, np.arange(len(size)), -1))
+    for i, j in trie_join(rows, t):
         for at in range(0, len(i), 4096):
             # pairs that links found before have connected are dropped as arrays, not one by one
             x_all, y_all = i[at : at + 4096], j[at : at + 4096]
             open_ = label[x_all] != label[y_all]
             before = len(out)
             for x, y in zip(x_all[open_].tolist(), y_all[open_].tolist(), strict=True):
-                if (p := root(x)) != (q := root(y)) and similar(np.asarray(sets[x]), np.asarray(sets[y]), t):
+                if (p := root(x)) != (q := root(y)) and similar(sets[x], sets[y], t):
                     parent[p] = q
                     out.append((code[x], code[y]))
             if len(out) > before:
@@ -338,65 +469,113 @@ def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _hot_links(posts: DataFrame, sets: DataFrame, t: float, block: int) -> DataFrame:
-    """Links found in buckets over the bound: inside their blocks, then between blocks where components still differ."""
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return lookup(rows, "code", sets.select(F.col("code").alias("k"), "shingles"), "k")
+
+
+def _blocks(rows: DataFrame, t: float, *by: str) -> DataFrame:
+    cols = [*by, *(c for c in ("code", "shingles", "root", "side") if c in rows.columns)]
+    return rows.select(*cols).groupBy(*by).applyInPandas(lambda part: _block(t, part), "a long, b long")
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the component of their code, of buckets that still have several; n is the bucket's rows."""
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = lookup(rows, "code", label.withColumnRenamed("id", "k").withColumnRenamed("root", "r"), "k", how="left").withColumn("root", F.coalesce("r", "code")).drop("r")
+    return _several(named)
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    rows = durable(rows.select("key", "code", "root"))
+    per = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "n")
+    return durable(lookup(rows, "key", per, "k"))
+
+
+def _large_links(posts: DataFrame, sets: DataFrame, t: float, block: int) -> DataFrame:
+    """Verified links found in large buckets: posts has key, code; the links join all that is linked there."""
     from pyspark.sql.window import Window
 
+    per = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
+    rows = durable(lookup(posts.select("key", "code"), "key", per, "k"))
     blocks = F.ceil(F.col("n") / block)
-    hot = durable(posts.join(sets.select("code", "shingles"), "code").withColumn("block", F.pmod(F.xxhash64("code"), blocks)))
-    inner = durable(hot.groupBy("key", "block").applyInPandas(lambda part: _block(t, part), "a long, b long").distinct())
-    label = components(inner.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = durable(hot.join(label.withColumnRenamed("id", "code"), "code", "left").withColumn("root", F.coalesce("root", "code")))
+    # each text goes into two buckets at first, and two texts of a bucket into all its blocks
+    h = F.struct(F.xxhash64("key").alias("h"), "key", "n")
+    seed = rows.groupBy("code").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).select("code", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("s")).select("s.key", "code", "s.n")
+    seed = durable(seed)
+    x = F.struct(F.xxhash64("code").alias("h"), "code")
+    pivot = seed.where(F.col("n") > block).groupBy("key").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.first("n").alias("n"))
+    pivot = pivot.select("key", "n", F.explode(F.array("lo.code", "hi.code")).alias("code")).select("key", "code", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("block"))
+    placed = seed.select("key", "code", F.pmod(F.xxhash64("code"), blocks).alias("block")).unionByName(pivot).distinct()
+    links = durable(_blocks(_with_sets(placed, sets), t, "key", "block").distinct())
+    left = _rooted(rows, links)
+    if not left.limit(1).count():
+        return links
+    # buckets of one block are joined as they are
+    links = durable(links.unionByName(_blocks(_with_sets(left.where(F.col("n") <= block), sets), t, "key")))
+    over = left.where(F.col("n") > block)
+    if not over.limit(1).count():
+        return links
+    # of the others those texts stay of whose shingles enough occur again in the bucket
+    token = F.explode(F.expr("transform(sequence(0, cast(length(shingles) / 8 as int) - 1), i -> substring(shingles, i * 8 + 1, 8))"))
+    spelled = _with_sets(over.select("key", "code"), sets).select("key", "code", F.length("shingles").alias("bytes"), token.alias("token"))
+    again = spelled.groupBy("key", "token").agg(F.count("*").alias("c")).where("c > 1").select("key", "token")
+    enough = spelled.join(again, ["key", "token"]).groupBy("key", "code").agg(F.count("*").alias("c"), F.first("bytes").alias("bytes")).where(F.col("c") >= F.ceil(F.col("bytes") / 8 * t - 1e-9)).select("key", "code")
+    over = _several(over.select("key", "code", "root").join(enough, ["key", "code"], "left_semi"))
+    links = durable(links.unionByName(_blocks(_with_sets(over.where(F.col("n") <= block), sets), t, "key")))
+    rest = over.where(F.col("n") > block)
+    if not rest.limit(1).count():
+        return links
     # the largest component of a bucket stays in place; all other texts visit each block, in groups that are bounded too
-    size = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
-    largest = size.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("m"), "root"))).where("r = 1").select("key", F.col("root").alias("main"), F.col("m").alias("most"))
-    left = rooted.join(largest.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("n") > F.col("most"))).drop("k")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("code"), blocks))
+    size = rest.groupBy("key", "root").agg(F.count("*").alias("m"))
+    largest = size.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("m"), "root"))).where("r = 1").select(F.col("key").alias("k"), F.col("root").alias("main"), F.col("m").alias("most"))
+    rest = lookup(rest, "key", largest, "k")
     groups = F.ceil((F.col("n") - F.col("most")) / block)
-    visit = left.where("root <> main").withColumn("party", F.pmod(F.xxhash64("code", F.lit(1)), groups)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
-    stay = left.withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), (groups - 1).cast("long"))))
-    meet = stay.withColumn("side", F.lit(0)).unionByName(visit.withColumn("side", F.lit(1))).drop("main", "most", "n")
-    outer = meet.groupBy("key", "block", "party").applyInPandas(lambda part: _block(t, part), "a long, b long")
-    return inner.unionByName(outer.where("a <> b"))
+    visit = rest.where("root <> main").withColumn("party", F.pmod(F.xxhash64("code", F.lit(1)), groups)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
+    stay = rest.withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), (groups - 1).cast("long"))))
+    meet = stay.withColumn("side", F.lit(0)).unionByName(visit.withColumn("side", F.lit(1))).select("key", "code", "root", "block", "party", "side")
+    outer = _blocks(_with_sets(meet, sets), t, "key", "block", "party")
+    return links.unionByName(outer.where("a <> b"))
 
 
-def classes(df: DataFrame, id: str, text: str, width: int = 5, t: float = 0.8, least: int = 0, block: int = BLOCK) -> DataFrame:
+def classes(df: DataFrame, id: str, text: str, width: int = 5, t: float = 0.8, least: int = 0, block: int = BLOCK, small: int = SMALL, counters: int = MOST_COUNTERS) -> DataFrame:
     """(id, class_id, n_class) of every id whose text takes part: near-duplicates, directly or through others, share a class.
 
     Texts with fewer than `least` words (or than `width`) and null texts take no
     part. Repeated rows and ids delivered twice count once; an id delivered with
     different texts is one vertex with all of them. class_id is the least id of
-    its class; a text without near-duplicates is a class of one.
+    its class; a text without near-duplicates is a class of one. `block`, `small` and `counters` bound memory and change no row.
     """
     spark = df.sparkSession
+    sc = spark.sparkContext
     raw = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     kind = raw.schema["id"].dataType.simpleString()
-    shingled = durable(raw.mapInArrow(partial(_classes, width, least), f"id {kind}, digest binary, shingles array<long>"))
-    # one class per distinct shingle set
-    member = shingled.select("id", "digest").distinct()
-    sets = durable(shingled.groupBy("digest").agg(F.first("shingles").alias("shingles")).withColumn("code", F.monotonically_increasing_id()))
-    counts = spark.sparkContext.broadcast(shingle_counts(sets))
-    schema = "key long, code long, size int, sketch binary"
-    plain = sets.select("code", "shingles")
-    cold = plain.mapInArrow(partial(_postings, counts, t, block, False), schema)
-    hot = durable(plain.mapInArrow(partial(_postings, counts, t, block, True), schema))
-    over = hot.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    over = durable(over)
-    n_over = over.count()
-    # shingles that only the counters' noise made look hot are ordinary buckets
-    cold = cold.unionByName(hot.join(over.select("key"), "key", "left_anti") if n_over else hot)
-    rows = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) * (1 - t)
-    n = max(spark.sparkContext.defaultParallelism, int(rows // POSTINGS_PER_TASK) + 1)
-    pairs = cold.repartition(n, "key").mapInArrow(partial(_joined, t), "a long, b long").distinct()
-    pairs = durable(pairs)
+    shingled = durable(raw.mapInArrow(partial(_shingled, width, least), f"id {kind}, digest binary, shingles binary").withColumn("row", F.monotonically_increasing_id()))
+    # one class per distinct shingle set; the set's number is that of the first row that has it
+    codes = durable(shingled.groupBy("digest").agg(F.min("row").alias("code")))
+    of = durable(lookup(shingled.select("id", "digest"), "digest", codes.withColumnRenamed("digest", "k"), "k").select("id", "code").distinct())
+    sets = shingled.join(codes.select("code"), F.col("row") == F.col("code"), "left_semi").select(F.col("row").alias("code"), "shingles")
+    runs = shingled.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    runs //= 8
+    counters = min(counters, 1 << max(16, int(runs).bit_length()))
+    ranks = shingle_ranks(shingled, counters)
+    # shingles far above what a counter holds by chance may be in a large share of all texts: these are not packed
+    hot_rank = int(rank_of(np.array([max(8 * block, 8 * runs // counters)]))[0])
+    shared = sc.broadcast(ranks)
+    n = max(sc.defaultParallelism, int(runs * (1 - t)) // POSTINGS_PER_TASK + 1)
+    posts = durable(sets.mapInArrow(partial(_postings, shared, t, hot_rank, n), _PACKED))
+    packed = posts.where("p is not null").repartitionById(n, F.col("p")).select("key", "of", "place", "code", "size", "narrow", "wide")
+    found = durable(packed.mapInArrow(partial(_joined, t, small), _FOUND))
+    pairs = durable(found.where("a is not null").select("a", "b").distinct())
     a = sets.select(F.col("code").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("code").alias("b"), F.col("shingles").alias("sb"))
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(partial(_verified, t), "a long, b long")
-    if n_over:
-        links = links.unionByName(_hot_links(hot.join(over, "key"), sets, t, block))
+    large = posts.where("p is null").select(F.col("hot_key").alias("key"), F.col("hot_code").alias("code")).unionByName(found.where("a is null").select("key", "code"))
+    if large.limit(1).count():
+        links = links.unionByName(_large_links(large, sets, t, block))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     # an id with several texts links their sets
-    of = durable(lookup(member, "digest", sets.select(F.col("digest").alias("k"), "code"), "k").select("id", "code"))
-    several = of.groupBy("id").agg(F.min("code").alias("u"), F.max("code").alias("v"), F.count("*").alias("m")).where("m > 1")
+    several = of.groupBy("id").agg(F.min("code").alias("u"), F.count("*").alias("m")).where("m > 1")
     if several.limit(1).count():
         edges = edges.unionByName(of.join(several.select("id", "u"), "id").select("u", F.col("code").alias("v")))
     label = components(durable(edges))

@@ -8,12 +8,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import groups, neardup, split
 
-SLOW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+SLOW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck), phases=[Phase.explicit, Phase.reuse, Phase.generate])
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,11 +58,12 @@ def brute_classes(texts, width, t, least):
 
 
 @SLOW
-@given(st.integers(0, 10_000), st.sampled_from([(3, 0.6, 20), (5, 0.8, 0)]), st.sampled_from([2, 2048]))
-def test_classes_are_those_of_brute_force(spark, seed, how, block):
+@given(st.integers(0, 10_000), st.sampled_from([(3, 0.6, 20), (5, 0.8, 0)]), st.sampled_from([(2, 1, 1 << 10), (3, 4, 1 << 20), (2048, 64, 1 << 24)]))
+def test_classes_are_those_of_brute_force(spark, seed, how, bounds):
     texts = texts_with_copies(seed)
     df = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "id string, body string, class_id string")
-    got = neardup.classes(df, "id", "body", *how, block=block)
+    block, small, counters = bounds
+    got = neardup.classes(df, "id", "body", *how, block=block, small=small, counters=counters)
     assert {(r.id, r.class_id) for r in got.collect()} == brute_classes(texts, *how)
 
 
@@ -100,7 +101,7 @@ def test_trie_join_keeps_all_within_budget():
             row[bit // 8] ^= np.uint8(1 << (7 - bit % 8))
     size = rng.integers(40, 80, 200)
     bucket = rng.integers(0, 3, 200)
-    got = {(min(a, b), max(a, b)) for i, j in neardup.trie_join(bucket, s, size, 0.6) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    got = {(min(a, b), max(a, b)) for i, j in neardup.trie_join(neardup.Rows(bucket, s, size), 0.6) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     want = set()
     for a in range(200):
         for b in range(a + 1, 200):
