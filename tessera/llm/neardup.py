@@ -20,6 +20,8 @@ All tries of a task are one sorted array and the walk goes level by level over
 arrays of node pairs, so nothing is done per pair in Python. Shingles travel in packed rows, one for
 each batch of texts and partition, in which a text's sketch stands once.
 
+Copies of a set come out once for each task that reads one, and are seen to be one where they meet.
+
 Buckets of over SMALL texts are never paired in full. They are cut into blocks, and in a block
 union-find keeps only a spanning forest of its verified links. First each text is joined in two
 buckets, whose blocks share two texts; this makes one component of a group of near-copies. Buckets of one
@@ -47,14 +49,16 @@ from tessera.sources.tables import table
 
 _WORD = re.compile(r"[^\W_]+")
 #: Bytes of the sketch that the trie is made of, and of the wide one that sets of over WIDE_FROM shingles have as well; the narrow is the wide one folded.
-NARROW, WIDE, WIDE_FROM = 16, 64, 80
+NARROW, WIDE, WIDE_FROM = 24, 72, 128
 #: Most counters of the frequency sketch that orders shingles; smaller inputs have fewer. One byte each when broadcast: 16 MB.
 MOST_COUNTERS = 1 << 24
 _SLICES = 512
 #: Texts of a bucket whose candidates are listed as pairs, and texts that are joined in one block beyond.
-SMALL, BLOCK = 64, 2048
+SMALL, BLOCK = 128, 2048
 #: Postings in one task, about 15 MB.
-POSTINGS_PER_TASK = 500_000
+POSTINGS_PER_TASK = 750_000
+#: Most bits of the filter for the sets that candidates need: 16 MB.
+MOST_BITS = 1 << 27
 #: Node pairs and rows that are walked at once.
 PAIRS, ROWS = 1 << 18, 1 << 15
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -257,6 +261,7 @@ def _arrow(names: str, *cols: pa.Array) -> pa.RecordBatch:
 
 def _shingled(width: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = Shingler(width, least)
+    seen: set[bytes] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
@@ -266,7 +271,13 @@ def _shingled(width: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iter
             first = np.cumsum([0] + [len(s) for s in sets[:-1]])
             sums = [np.add.reduceat(_mix(flat * m), first) if sets else flat for m in (_M1, _M3)]
             digest = [a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)]
-            yield _arrow("id digest shingles", part.column(0).take(pa.array(places, pa.int64())), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            raw = []
+            for d, s in zip(digest, sets, strict=True):
+                raw.append(None if d in seen else s.tobytes())
+                seen.add(d)
+            yield _arrow("id digest shingles", part.column(0).take(pa.array(places, pa.int64())), pa.array(digest, pa.binary()), pa.array(raw, pa.binary()))
 
 
 def _set(raw: bytes) -> np.ndarray:
@@ -285,6 +296,51 @@ def _counted(counters: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             yield _arrow("slice counts", pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()))
 
 
+def _marked(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = np.zeros(bits // 8, dtype=np.uint8)
+    for batch in batches:
+        for at in _slots(batch.column(0), bits):
+            np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    for i, x in enumerate(marks.reshape(_SLICES, -1)):
+        if x.any():
+            yield _arrow("slice counts", pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()))
+
+
+def _slots(digests: pa.Array, bits: int) -> list[np.ndarray]:
+    halves = _set(b"".join(digests.to_pylist())).reshape(-1, 2)
+    return [(halves[:, i] & np.uint64(bits - 1)).astype(np.int64) for i in (0, 1)]
+
+
+def _united(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"slice": part["slice"][:1], "ranks": [np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in part["counts"]]).tobytes()]})
+
+
+def _gathered(parts: DataFrame, join, size: int) -> np.ndarray:  # noqa: ANN001
+    out = np.zeros(size, dtype=np.uint8)
+    for r in parts.groupBy("slice").applyInPandas(lambda part: join(part), "slice int, ranks binary").collect():
+        out[r["slice"] * (size // _SLICES) :][: size // _SLICES] = np.frombuffer(r["ranks"], dtype=np.uint8)
+    return out
+
+
+def _passing(marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Rows (digest, shingles) whose digest may be among the marked ones."""
+    marks = marks.value
+    for batch in batches:
+        if batch.num_rows:
+            ok = np.ones(batch.num_rows, bool)
+            for at in _slots(batch.column(0), len(marks) * 8):
+                ok &= (marks[at >> 3] >> (at & 7) & 1) == 1
+            yield batch.filter(pa.array(ok))
+
+
+def sets_of(sets: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of `sets` (digest, shingles) that `digests` names, and few others: a filter of bounded size goes to the sets, so that they needn't be shuffled to be chosen."""
+    n = digests.count()
+    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+    marks = _gathered(digests.mapInArrow(partial(_marked, bits), "slice int, counts binary"), _united, bits // 8)
+    return sets.mapInArrow(partial(_passing, sets.sparkSession.sparkContext.broadcast(marks)), "digest binary, shingles binary")
+
+
 def _summed(part: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in part["counts"])
     return pd.DataFrame({"slice": part["slice"][:1], "ranks": [rank_of(total).tobytes()]})
@@ -295,23 +351,19 @@ def rank_of(count: np.ndarray) -> np.ndarray:
     return np.where(count <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(count, 1))))).astype(np.uint8)
 
 
-def shingle_ranks(shingled: DataFrame, counters: int) -> np.ndarray:
+def shingle_ranks(sets: DataFrame, counters: int) -> np.ndarray:
     """How frequent the shingles of each counter are together, by `rank_of`: a table of fixed size, counted over all rows.
 
     Only the order by rarity and what is certainly a shingle of one text are taken from it, so its noise costs time but no link.
     """
-    parts = shingled.select("shingles").mapInArrow(partial(_counted, counters), "slice int, counts binary").groupBy("slice").applyInPandas(_summed, "slice int, ranks binary").collect()
-    out = np.zeros(counters, dtype=np.uint8)
-    for r in parts:
-        out[r["slice"] * (counters // _SLICES) :][: counters // _SLICES] = np.frombuffer(r["ranks"], dtype=np.uint8)
-    return out
+    return _gathered(sets.select("shingles").mapInArrow(partial(_counted, counters), "slice int, counts binary"), _summed, counters)
 
 
-_PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary, hot_key long, hot_code long, hot_size int, hot_place int"
+_PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary, hot_key long, hot_code binary"
 
 
 def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Rare shingles of sets (code, shingles), packed by partition; those that may be in a large share of all texts come out one by one."""
+    """Rare shingles of sets (digest, shingles), packed by partition; those that may be in a large share of all texts come out one by one."""
     rank = ranks.value
     names = _PACKED.replace(" binary", "").replace(" int", "").replace(" long", "").replace(",", "")
     for batch in batches:
@@ -320,7 +372,7 @@ def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.Recor
             sets = [_set(x) for x in part.column(1).to_pylist()]
             if not sets:
                 continue
-            code, size = part.column(0).to_numpy(), np.array([len(s) for s in sets], dtype=np.int64)
+            code, size = np.array(part.column(0).to_pylist(), dtype="V16"), np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate(sets)
             f = rank[(flat & np.uint64(len(rank) - 1)).astype(np.int64)]
             # sets are sorted and the sort is stable, so shingles of one rank are everywhere in the order of their hashes
@@ -337,7 +389,7 @@ def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.Recor
             if hot.any():
                 k = int(hot.sum())
                 empty = [pa.nulls(k, pa.binary())] * 7
-                yield _arrow(names, pa.nulls(k, pa.int32()), *empty, pa.array(key[hot].view(np.int64)), pa.array(code[row[hot]]), pa.array(size[row[hot]].astype(np.int32)), pa.array(place[hot].astype(np.int32)))
+                yield _arrow(names, pa.nulls(k, pa.int32()), *empty, pa.array(key[hot].view(np.int64)), pa.array([x.tobytes() for x in code[row[hot]]], pa.binary()))
                 key, row, place = key[~hot], row[~hot], place[~hot]
             if not len(key):
                 continue
@@ -350,11 +402,10 @@ def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.Recor
                 o = order[a:b]
                 rows, of = np.unique(row[o], return_inverse=True)
                 big = rows[size[rows] > WIDE_FROM]
-                for c, x in zip(cols, (int(to[o[0]]), key[o], of.astype(np.uint16), place[o].astype(np.uint32), code[rows], size[rows].astype(np.uint32), narrow[rows], wide[big]), strict=True):
+                for c, x in zip(cols, (int(to[o[0]]), key[o], of.astype(np.uint16), np.minimum(place[o], 65535).astype(np.uint16), code[rows], size[rows].astype(np.uint32), narrow[rows], wide[big]), strict=True):
                     c.append(x if isinstance(x, int) else x.tobytes())
             m = len(cols[0])
-            none = [pa.nulls(m, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield _arrow(names, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), *none)
+            yield _arrow(names, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()))
 
 
 def prune(key: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -379,13 +430,13 @@ def prune(key: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> tup
         order = order[ok]
 
 
-_FOUND = "a long, b long, key long, code long, size int, place int"
+_FOUND = "a binary, b binary, key long, code binary"
 
 
 def _joined(t: float, small: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of the small buckets in a partition, each pair once per partition, and the postings of its large ones."""
+    """Candidates (a, b) of the small buckets in a partition, each pair once per partition, and the postings (key, code) of its large ones."""
     got: list[list[np.ndarray]] = [[] for _ in range(7)]
-    kinds = (np.uint64, np.uint16, np.uint32, np.int64, np.uint32, np.uint8, np.uint8)
+    kinds = (np.uint64, np.uint16, np.uint16, "V16", np.uint32, np.uint8, np.uint8)
     held = 0
     for batch in batches:
         for raws in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
@@ -399,12 +450,23 @@ def _joined(t: float, small: int, batches: Iterator[pa.RecordBatch]) -> Iterator
     size, place = size.astype(np.int64), place.astype(np.int64)
     narrow, wide = narrow.reshape(-1, NARROW), wide.reshape(-1, WIDE)
     wide_at = np.where(size > WIDE_FROM, np.cumsum(size > WIDE_FROM) - 1, -1)
+    # a set that several tasks had is one row of each bucket
+    halves = code.view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    new = np.concatenate([[True], (halves[order[1:]] != halves[order[:-1]]).any(1)])
+    if not new.all():
+        first = np.empty(len(code), dtype=np.int64)
+        first[order] = order[new][np.cumsum(new) - 1]
+        of = first[of]
+        o = np.lexsort((of, key))
+        o = o[np.concatenate([[True], (key[o[1:]] != key[o[:-1]]) | (of[o[1:]] != of[o[:-1]])])]
+        key, of, place = key[o], of[o], place[o]
     rows, n = prune(key, size[of], place, t)
     large = rows[n > small]
     for at in range(0, len(large), 100_000):
         r = large[at : at + 100_000]
-        none = pa.nulls(len(r), pa.int64())
-        yield _arrow("a b key code size place", none, none, pa.array(key[r].view(np.int64)), pa.array(code[of[r]]), pa.array(size[of[r]].astype(np.int32)), pa.array(place[r].astype(np.int32)))
+        none = pa.nulls(len(r), pa.binary())
+        yield _arrow("a b key code", none, none, pa.array(key[r].view(np.int64)), pa.array([x.tobytes() for x in code[of[r]]], pa.binary()))
     rows = rows[n <= small]
     key, of, place = key[rows], of[rows], place[rows]
     found = [np.zeros(0, np.int64)]
@@ -412,10 +474,10 @@ def _joined(t: float, small: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         a, b = of[i], of[j]
         found.append(np.unique(np.minimum(a, b) * len(code) + np.maximum(a, b)))
     a, b = np.divmod(np.unique(np.concatenate(found)), len(code))
-    a, b = np.minimum(code[a], code[b]), np.maximum(code[a], code[b])
     for at in range(0, len(a), 100_000):
-        k = len(a[at : at + 100_000])
-        yield _arrow("a b key code size place", pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()))
+        ends = [[x.tobytes() for x in code[c[at : at + 100_000]]] for c in (a, b)]
+        k = len(ends[0])
+        yield _arrow("a b key code", pa.array(map(min, *ends), pa.binary()), pa.array(map(max, *ends), pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()))
 
 
 def similar(a: np.ndarray, b: np.ndarray, t: float) -> bool:
@@ -470,7 +532,7 @@ def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    return lookup(rows, "code", sets.select(F.col("code").alias("k"), "shingles"), "k")
+    return lookup(durable(rows), "code", sets.select(F.col("code").alias("k"), "shingles"), "k")
 
 
 def _blocks(rows: DataFrame, t: float, *by: str) -> DataFrame:
@@ -491,6 +553,31 @@ def _several(rows: DataFrame) -> DataFrame:
     return durable(lookup(rows, "key", per, "k"))
 
 
+def _verify(pairs: DataFrame, needed: DataFrame, t: float) -> DataFrame:
+    """The pairs (a, b), by number, whose sets are similar."""
+    a = needed.select(F.col("code").alias("a"), F.col("shingles").alias("sa"))
+    b = needed.select(F.col("code").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(partial(_verified, t), "a long, b long")
+
+
+def _small_links(pairs: DataFrame, needed: DataFrame, t: float) -> DataFrame:
+    """Verified links of candidates (a, b), by digest: all that are needed to join what is linked.
+
+    Where there are many candidates for each text, one of each text is looked at first, and of the others
+    only those whose ends that hasn't joined.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(needed.select(F.col("digest").alias(end), F.col("code").alias(f"{end}_code")), end)
+    pairs = durable(pairs.select(F.least("a_code", "b_code").alias("a"), F.greatest("a_code", "b_code").alias("b")))
+    if pairs.count() <= 4 * needed.count():
+        return _verify(pairs, needed, t)
+    links = durable(_verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), needed, t))
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "k")
+    named = lookup(lookup(pairs, "a", label.withColumnRenamed("root", "ra"), "k", how="left"), "b", label.withColumnRenamed("root", "rb"), "k", how="left")
+    rest = durable(named.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    return links.unionByName(_verify(rest, needed, t))
+
+
 def _large_links(posts: DataFrame, sets: DataFrame, t: float, block: int) -> DataFrame:
     """Verified links found in large buckets: posts has key, code; the links join all that is linked there."""
     from pyspark.sql.window import Window
@@ -552,27 +639,27 @@ def classes(df: DataFrame, id: str, text: str, width: int = 5, t: float = 0.8, l
     kind = raw.schema["id"].dataType.simpleString()
     shingled = durable(raw.mapInArrow(partial(_shingled, width, least), f"id {kind}, digest binary, shingles binary").withColumn("row", F.monotonically_increasing_id()))
     # one class per distinct shingle set; the set's number is that of the first row that has it
-    codes = durable(shingled.groupBy("digest").agg(F.min("row").alias("code")))
-    of = durable(lookup(shingled.select("id", "digest"), "digest", codes.withColumnRenamed("digest", "k"), "k").select("id", "code").distinct())
-    sets = shingled.join(codes.select("code"), F.col("row") == F.col("code"), "left_semi").select(F.col("row").alias("code"), "shingles")
-    runs = shingled.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    runs //= 8
+    codes = durable(shingled.groupBy(F.col("digest").alias("k")).agg(F.min("row").alias("code")))
+    of = durable(lookup(shingled.select("id", "digest").distinct(), "digest", codes, "k").select("id", "code"))
+    sets = shingled.where("shingles is not null").select("digest", "shingles")
+    runs = (sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
     counters = min(counters, 1 << max(16, int(runs).bit_length()))
-    ranks = shingle_ranks(shingled, counters)
+    ranks = shingle_ranks(sets, counters)
     # shingles far above what a counter holds by chance may be in a large share of all texts: these are not packed
     hot_rank = int(rank_of(np.array([max(8 * block, 8 * runs // counters)]))[0])
-    shared = sc.broadcast(ranks)
     n = max(sc.defaultParallelism, int(runs * (1 - t)) // POSTINGS_PER_TASK + 1)
-    posts = durable(sets.mapInArrow(partial(_postings, shared, t, hot_rank, n), _PACKED))
+    posts = durable(sets.mapInArrow(partial(_postings, sc.broadcast(ranks), t, hot_rank, n), _PACKED))
     packed = posts.where("p is not null").repartitionById(n, F.col("p")).select("key", "of", "place", "code", "size", "narrow", "wide")
     found = durable(packed.mapInArrow(partial(_joined, t, small), _FOUND))
     pairs = durable(found.where("a is not null").select("a", "b").distinct())
-    a = sets.select(F.col("code").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("code").alias("b"), F.col("shingles").alias("sb"))
-    links = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(partial(_verified, t), "a long, b long")
-    large = posts.where("p is null").select(F.col("hot_key").alias("key"), F.col("hot_code").alias("code")).unionByName(found.where("a is null").select("key", "code"))
+    large = durable(posts.where("p is null").select(F.col("hot_key").alias("key"), F.col("hot_code").alias("digest")).unionByName(found.where("a is null").select("key", F.col("code").alias("digest"))).distinct())
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("digest").alias("a")))
+    needed = sets_of(sets, ends).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    needed = durable(needed.join(codes, F.col("digest") == F.col("k")).select("digest", "code", "shingles"))
+    links = _small_links(pairs, needed, t)
     if large.limit(1).count():
-        links = links.unionByName(_large_links(large, sets, t, block))
+        known = needed.select(F.col("digest").alias("k"), "code")
+        links = links.unionByName(_large_links(durable(lookup(large, "digest", known, "k")), needed.select("code", "shingles"), t, block))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     # an id with several texts links their sets
     several = of.groupBy("id").agg(F.min("code").alias("u"), F.count("*").alias("m")).where("m > 1")
