@@ -206,9 +206,11 @@ def test_leaks_and_scrubbing(spark):
     ("text", "verdict"),
     [
         ("A whole sentence.", "whole"), ("She said \"it is so.\"", "whole"), ("A sentence that sto", "ask"), ("It goes on and on, and it never comes to the end of what it has to say in th", "cut"),
-        ("It was the…", "cut"), ("It was the [...]", "cut"), ("And then (more)", "cut"), ("It was\n--- connection closed", "cut"), ("The last w�", "cut"), ("It ends here,", "cut"),
+        ("It was the…", "dots"), ("It was the [...]", "cut"), ("And then (more)", "cut"), ("It was\n--- connection closed", "cut"), ("The last w�", "cut"), ("It ends here,", "cut"),
         ('{"a": [1, 2', "cut"), ('{"a": [1, 2]}', "whole"), ("```\ncode()\n```", "whole"), ("Text.\n```\ncode()", "cut"), ("| a | b |\n|---|---|\n| 1 | 2 |", "whole"), ("| a | b |\n|---|---|\n| 1 |", "cut"),
         ("Several notes (e.g.", "cut"), ("Best wishes\n\n-- \nsome desk", "whole"), ("这是一个完整的句子。", "whole"), ("A finished one. 🌱", "whole"), ("Some text <a href='x", "cut"), ("He wrote, \"the log is", "cut"),
+        ("unclosed (bracket here. Then it ended.", "cut"), ("<b>bold text. Finished.", "cut"), ("He said \"yes. And left.", "cut"), ("One \"open\n\nparagraph. The next ends.", "whole"), ("a \\u12", "cut"), ("x = f(a, [1,\n2, 3)", "whole"),
+        ("Sad :( but done.", "whole"), ("A 5\" pipe is here.", "whole"), ("Noted. --- connection closed " + "x" * 400, "cut"), ("It <em>went</em> on.", "whole"), ("He waited...", "dots"),
     ],
 )
 def test_verdicts(text, verdict):
@@ -218,7 +220,14 @@ def test_verdicts(text, verdict):
 @settings(max_examples=100, deadline=None)
 @given(st.text(min_size=1, max_size=60).filter(lambda t: t.strip()))
 def test_any_text_has_a_verdict(text):
-    assert truncation.judge(text.strip())[0] in ("cut", "whole", "ask")
+    assert truncation.judge(text.strip())[0] in ("cut", "whole", "ask", "dots")
+
+
+def test_an_ellipsis_is_ordinary_where_its_source_uses_it(spark):
+    rows = [(i, "tales", "He waited... Nothing came… And then it rained." if i % 9 else "He waited... And so it went...") for i in range(40)]
+    rows += [(100 + i, "feed", "The board met on Monday. It will decide on the" + "…" * (i % 2 == 0)) for i in range(40)]
+    got = {r.doc_id: r.cut for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert not any(v for k, v in got.items() if k < 100) and all(v for k, v in got.items() if k >= 100 and k % 2 == 0)
 
 
 def test_other_texts_vouch(spark):
