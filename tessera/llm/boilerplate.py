@@ -1,11 +1,13 @@
 """Problem 4: the main body of web pages.
 
 The pages of a host are cut into shards of bounded size. Of each shard the token
-streams of its pages are concatenated and their suffix array is built; runs of
-tokens that repeat in other pages give, for every line, how many pages hold it
-whole, and for every start of a line, how many hold that start. Supports of the
-shards of a host are added up. Lines and starts that a fixed share of a host's pages
-hold are its site text: a bounded list, since each page has only so many lines.
+streams of its pages are concatenated and their suffix array is built. Substrings of SPAN tokens, wherever they
+begin and whatever line ends they cross, stand next to each other there when they are equal; those that a
+fixed share of a host's pages hold are its site text, and each page's tokens that they cover go. If a share of all pages
+hold a substring then so large a share of some shard's pages do, so candidates come from single shards and
+are counted exactly on all shards afterwards. The same array gives, for every line, how many pages hold it
+whole, and for every start of a line, how many hold that start; these supports are added up over the
+shards of a host. They find short lines and lines with a changing part.
 Then each page is read once more: lines covered by site text go, and what only
 stands beside them (links under a heading of the site, for one) goes with them; the
 unique runs between are the main body.
@@ -26,8 +28,10 @@ from tessera.operators.skew import lookup
 from tessera.plans.durable import durable
 from tessera.sources.tables import table
 
-#: Characters of text in one suffix array.
-CHARS_PER_SHARD = 1_000_000
+#: Characters of text in one suffix array; but a shard of a host with several has at least so many pages, whatever their length.
+CHARS_PER_SHARD, PAGES_PER_SHARD = 1_000_000, 100
+#: Tokens (words, signs, line ends) of the repeated substrings, and the share of a line that they must cover.
+SPAN, SPANNED = 8, 0.75
 #: A line is site text when at least so many pages, and so large a share of a host's pages, hold it; for starts of lines likewise.
 LEAST_PAGES, LINE_SHARE, START_SHARE = 3, 0.02, 0.05
 #: Share for lines of at most SHORT_TOKENS tokens: shorter than any title, so links of a menu.
@@ -79,8 +83,38 @@ def hash_of(tokens: list[str]) -> int:
     return xxhash.xxh64_intdigest("\x00".join(tokens).encode()) - (1 << 63)
 
 
-def shard_support(pages: list[list[tuple[list[str], bool]]], least: int = 2) -> list[tuple[str, int, int]]:
-    """(kind, hash, pages) of the lines and starts of lines that at least `least` pages hold.
+class _Tokens(dict):
+    """Odd 64-bit hashes of tokens; forgets all when it is large."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[token] = xxhash.xxh64_intdigest(token) | 1
+        return h
+
+
+_HASHED = _Tokens()
+
+
+def span_hashes(lines: Iterable[list[str]]) -> np.ndarray:
+    """Hashes of all substrings of SPAN tokens of a page; a line end is a token."""
+    flat = [h for tokens in lines for h in (*map(_HASHED.__getitem__, tokens), _HASHED["\n"])]
+    return _windows(np.array(flat, dtype=np.uint64))
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    n = len(x) - SPAN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(SPAN):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n]
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def shard_support(pages: list[list[tuple[list[str], bool]]], least: int = 2, spans: int | None = None) -> list[tuple[str, int, int]]:
+    """(kind, hash, pages) of the lines and starts of lines that at least `least` pages hold, and of the substrings that at least `spans` hold.
 
     pages: per page its lines, per line its tokens and whether it may be a label.
     The suffixes that begin a line are next to each other in the suffix array when
@@ -105,6 +139,7 @@ def shard_support(pages: list[list[tuple[list[str], bool]]], least: int = 2) ->
         return []
     s = np.array(stream, dtype=np.int64)
     rank = suffix_ranks(s)
+    out: list[tuple[str, int, int]] = [] if spans is None else _spans(s, rank, number, spans)
     at, page, size, labels = np.array(line_at), np.array(page_of), np.array(length), np.array(label)
     order = np.argsort(rank[at], kind="stable")
     at, page, size, labels = at[order], page[order], size[order], labels[order]
@@ -118,7 +153,6 @@ def shard_support(pages: list[list[tuple[list[str], bool]]], least: int = 2) ->
         k += 1
         lcp[alive] = k
         alive = alive[size[alive] >= k]
-    out: list[tuple[str, int, int]] = []
 
     def runs(kind: str, cut: int | None, new: np.ndarray, able: np.ndarray) -> None:
         group = np.cumsum(new)
@@ -137,6 +171,32 @@ def shard_support(pages: list[list[tuple[list[str], bool]]], least: int = 2) ->
     return out
 
 
+def _spans(s: np.ndarray, rank: np.ndarray, number: dict[str, int], least: int) -> list[tuple[str, int, int]]:
+    """Substrings of SPAN tokens that at least `least` pages hold, from the suffix array of their stream."""
+    n = len(s)
+    end = s < 0
+    page = np.cumsum(end) - end
+    hashed = np.array([0, 0, *map(_HASHED.__getitem__, list(number)[1:])], dtype=np.uint64)
+    hashed[1] = _HASHED["\n"]
+    value = _windows(hashed[np.maximum(s, 0)])
+    sa = np.empty(n, dtype=np.int64)
+    sa[rank] = np.arange(n)
+    # substrings that would cross a page's end are none
+    sa = sa[(sa + SPAN <= n)]
+    sa = sa[page[sa] == page[sa + SPAN - 1]]
+    sa = sa[~end[sa + SPAN - 1]]
+    if not len(sa):
+        return []
+    same = np.ones(len(sa) - 1, bool)
+    for k in range(SPAN):
+        same &= s[sa[1:] + k] == s[sa[:-1] + k]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    group = np.cumsum(np.concatenate([[True], ~same])) - 1
+    held = np.bincount(np.unique(group * (page[-1] + 1) + page[sa]) // (page[-1] + 1), minlength=len(first))
+    enough = np.flatnonzero(held >= least)
+    return [("span", h, m) for h, m in zip(value[sa[first[enough]]].tolist(), held[enough].tolist(), strict=True)]
+
+
 def lines_of(text: str) -> list[str]:
     return [x.strip(" \t\r\f") for x in text.split("\n")]
 
@@ -169,29 +229,52 @@ def _profile(part: pd.DataFrame) -> pd.DataFrame:
     """Supports of one shard of a host: all of them, since what one page of a shard holds may be in every other shard."""
     host = part["host"].iloc[0]
     site = site_words(host)
-    rows = shard_support([[(tokens_of(x, site), _label(x)) for x in lines_of(text) if x] for text in part["text"]], 1)
+    shards = int(part["shards"].iloc[0])
+    spans = max(LEAST_PAGES if shards == 1 else 2, int(np.ceil(LINE_SHARE * len(part) - 1e-9)))
+    rows = shard_support([[(tokens_of(x, site), _label(x)) for x in lines_of(text) if x] for text in part["text"]], 1, spans)
     out = pd.DataFrame(rows, columns=["kind", "h", "pages"]).groupby(["kind", "h"], as_index=False)["pages"].max()
     out.insert(0, "host", host)
     return out
 
 
 def _heads(part: pd.DataFrame, often_part: pd.DataFrame) -> pd.DataFrame:
-    """How many titles of one shard begin alike; lines that are often on the whole host are no titles."""
+    """How many titles of one shard begin alike (`head`), and how many of its pages hold the substrings in question (`span`); lines that are often on the whole host are no titles."""
     heads: dict[int, int] = {}
+    asked = often_part["h"].to_numpy()[(often_part["kind"] == "span").to_numpy()]
+    held: list[np.ndarray] = []
     host = part["host"].iloc[0] if len(part) else ""
-    site, often = site_words(host), frozenset(often_part["h"].tolist())
+    site, often = site_words(host), frozenset(often_part["h"][often_part["kind"] != "span"].tolist())
     for text in part["text"]:
-        lines = ((tokens_of(x, site), _label(x)) for x in lines_of(text) if x)
+        lines = [(tokens_of(x, site), _label(x)) for x in lines_of(text) if x]
+        if len(asked):
+            own = np.unique(span_hashes(x[0] for x in lines))
+            held.append(own[np.isin(own, asked)])
         t = _title_of(x for x in lines if not names_site(x[0], site) and hash_of(x[0]) not in often)
         for k in LABEL_STARTS:
             if t and len(t) > k:
                 h = hash_of(t[:k])
                 heads[h] = heads.get(h, 0) + 1
-    out = pd.DataFrame(list(heads.items()), columns=["h", "pages"])
+    out = [("head", h, n) for h, n in heads.items()]
+    if held:
+        out += [("span", h, n) for h, n in zip(*(x.tolist() for x in np.unique(np.concatenate(held), return_counts=True)), strict=True)]
+    out = pd.DataFrame(out, columns=["kind", "h", "pages"])
     out.insert(0, "host", host)
     return out
 
 
+def spanned(lines: list[list[str]], known: dict[int, str]) -> list[float]:
+    """The share of each line's tokens that the site's substrings cover."""
+    size = np.array([len(t) + 1 for t in lines], dtype=np.int64)
+    hit = np.array([known.get(h) == "span" for h in span_hashes(lines).tolist()], dtype=np.int64)
+    edge = np.zeros(int(size.sum()) + 1, dtype=np.int64)
+    edge[: len(hit)] += hit
+    edge[SPAN : SPAN + len(hit)] -= hit
+    upto = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
+    ends = np.cumsum(size)
+    # the line's end itself does not count
+    return [(upto[e - 1] - upto[e - n]) / max(1, n - 1) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+
+
 def names_site(tokens: list[str], site: frozenset[str]) -> bool:
     """Whether the line has the site's name: two words of it, side by side."""
     return len(site) > 1 and any(a == b == "\x01" for a, b in zip(tokens, tokens[1:]))  # noqa: B905
@@ -200,7 +283,7 @@ def names_site(tokens: list[str], site: frozenset[str]) -> bool:
 def classify(text: str, site: frozenset[str], known: dict[int, str]) -> list[bool]:
     """For each line of a page, whether it lies outside the main body; blank lines are False.
 
-    known: the site text by hash: `line` and `strong` lines, `start` of labels and
+    known: the site text by hash: `span` for substrings, `line` and `strong` lines, `start` of labels and
     sentences, `head` for starts of headings. A page without a sentence or item of
     its own has no main body.
     """
@@ -208,13 +291,17 @@ def classify(text: str, site: frozenset[str], known: dict[int, str]) -> list[boo
     n = len(lines)
     out, body = [False] * n, [False] * n
     at = [i for i in range(n) if lines[i]]
-    for i in at:
+    tokens = [tokens_of(lines[i], site) for i in at]
+    for i, t, share in zip(at, tokens, spanned(tokens, known), strict=True):
         x = lines[i]
-        t = tokens_of(x, site)
         label = _label(x)
+        starts = [known.get(hash_of(t[:k])) for k in LABEL_STARTS if len(t) > k] if label else []
+        # titles and items of lists that several pages share are long enough to be covered, and need stronger evidence
+        if share >= SPANNED and "head" not in starts and not _is_item(x):
+            out[i] = True
+            continue
         kind = known.get(hash_of(t))
         if label:
-            starts = [known.get(hash_of(t[:k])) for k in LABEL_STARTS if len(t) > k]
             out[i] = kind == "strong" or ("head" not in starts and (kind == "line" or "start" in starts)) or _row_of_links(x, known, site) or _link(t, known)
         else:
             out[i] = kind == "strong" or (kind == "line" and not _is_item(x)) or any(known.get(hash_of(t[:k])) == "start" for k in SENTENCE_STARTS if COVERED * len(t) <= k < len(t))
@@ -253,22 +340,29 @@ def _row_of_links(line: str, known: dict[int, str], site: frozenset[str]) -> boo
     return len(parts) > 2 and sum(known.get(hash_of(tokens_of(p, site))) in ("line", "strong") for p in parts) * 2 > len(parts)
 
 
-def sharded(pages: DataFrame, chars: int = CHARS_PER_SHARD) -> DataFrame:
-    """Pages with the number of their host's pages (n) and a shard of bounded size."""
+def sharded(pages: DataFrame, chars: int = CHARS_PER_SHARD, pages_least: int = PAGES_PER_SHARD) -> DataFrame:
+    """Pages with the number of their host's pages (n), its shards, and a shard of bounded size."""
     size = pages.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("total")).withColumnRenamed("host", "k")
-    return lookup(pages, "host", size, "k").withColumn("shard", F.pmod(F.xxhash64("parsed_id"), F.ceil(F.col("total") / chars))).drop("total")
+    size = size.withColumn("shards", F.greatest(F.lit(1), F.least(F.ceil(F.col("total") / chars), F.floor(F.col("n") / pages_least))))
+    return lookup(pages, "host", size, "k").withColumn("shard", F.pmod(F.xxhash64("parsed_id"), F.col("shards"))).drop("total")
 
 
 def site_text(pages: DataFrame) -> DataFrame:
     """(host, kind, h): the site text of each host of `pages` (the output of `sharded`)."""
     support = durable(pages.groupBy("host", "shard").applyInPandas(_profile, "host string, kind string, h long, pages long"))
-    size = durable(pages.groupBy("host").agg(F.count("*").alias("n")).withColumnRenamed("host", "k"))
+    size = durable(pages.groupBy("host").agg(F.count("*").alias("n"), F.first("shards").alias("shards")).withColumnRenamed("host", "k"))
     rows = durable(lookup(support.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages")), "host", size, "k"))
     # titles are looked for when the shards are added up: a line may be often on the host and rare in a shard
-    often = rows.where(f"kind in ('line', 'short') and pages >= {LEAST_PAGES} and pages >= {LINE_SHARE} * n").select(F.col("host").alias("k"), "h").distinct()
+    often = rows.where(f"kind in ('line', 'short') and pages >= {LEAST_PAGES} and pages >= {LINE_SHARE} * n").select(F.col("host").alias("k"), F.lit("line").alias("kind"), "h").distinct()
+    # substrings that are often in one of several shards are counted in all of them
+    some = rows.where("kind = 'span' and shards > 1").select(F.col("host").alias("k"), "kind", "h")
+    often = often.unionByName(some)
     per_shard = pages.select(F.col("host").alias("k"), F.col("shard").alias("s")).distinct().join(often, "k")
-    titles = pages.groupBy("host", "shard").cogroup(per_shard.groupBy("k", "s")).applyInPandas(_heads, "host string, h long, pages long")
-    heads = durable(lookup(titles.groupBy("host", "h").agg(F.sum("pages").alias("pages")), "host", size, "k"))
+    second = pages.groupBy("host", "shard").cogroup(per_shard.groupBy("k", "s")).applyInPandas(_heads, "host string, kind string, h long, pages long")
+    second = durable(lookup(second.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages")), "host", size, "k"))
+    heads = second.where("kind = 'head'").select("host", "h", "pages", "n")
+    span = rows.where("kind = 'span' and shards = 1").unionByName(second.where("kind = 'span'").select(*rows.columns))
+    span = span.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LINE_SHARE * F.col("n"))).select("host", "kind", "h")
     starts = rows.where("kind = 'start'").select("host", "h", F.col("pages").alias("seen"))
     # a start of titles that no label but titles have has no row of its own among the starts
     head = heads.join(starts, ["host", "h"], "left").where(F.col("pages") >= HEAD_RATIO * F.coalesce("seen", "pages")).select("host", "h", "n", "pages")
@@ -282,11 +376,11 @@ def site_text(pages: DataFrame) -> DataFrame:
     pool = own.groupBy("kind", "h").agg(F.count("*").alias("hosts")).where(f"hosts >= {LEAST_HOSTS}")
     common_heads = head.groupBy("h").agg(F.count("*").alias("hosts")).where(f"hosts >= {LEAST_HOSTS}").select("h")
     pool = pool.join(common_heads, "h", "left_anti").groupBy("h").agg(F.max("kind").alias("kind"))
-    held = rows.select("host", "h").distinct()
+    held = rows.where("kind <> 'span'").select("host", "h").distinct()
     also = held.join(pool, "h").select("host", "kind", "h")
     heads = head.select("host", "h").unionByName(held.join(common_heads, "h").select("host", "h")).select("host", F.lit("head").alias("kind"), "h")
     # one kind for each hash of a host; by name, strong goes before start, line and head
-    return own.unionByName(also).unionByName(heads).groupBy("host", "h").agg(F.max("kind").alias("kind")).select("host", "kind", "h")
+    return own.unionByName(also).unionByName(heads).unionByName(span).groupBy("host", "h").agg(F.max("kind").alias("kind")).select("host", "kind", "h")
 
 
 def outside(pages: DataFrame) -> DataFrame:

@@ -137,6 +137,24 @@ def test_text_of_several_hosts_counts_on_large_hosts_too(spark):
     assert boilerplate.hash_of(boilerplate.tokens_of(line)) in {r.h for r in known.collect()}
 
 
+def test_substrings_inside_lines_are_found_in_any_number_of_shards(spark):
+    rng = random.Random(8)
+    notice = "this notice stands inside a line and never begins one of them at all"
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    rows = []
+    for i in range(400):
+        own = [" ".join(word() for _ in range(12)) for _ in range(3)]
+        if i % 20 == 0:
+            own.append(f"{word()} {notice} {word()}")
+        rows.append((i, "pages.test", "\n".join(own)))
+    pages = spark.createDataFrame(rows, "parsed_id long, host string, text string")
+    found = [{(r.kind, r.h) for r in boilerplate.site_text(boilerplate.sharded(pages, chars)).collect() if r.kind == "span"} for chars in (1_000_000, 400)]
+    assert found[0] == found[1] == {("span", h) for h in boilerplate.span_hashes([boilerplate.tokens_of(notice)]).tolist()[: 15 - boilerplate.SPAN]}
+    known = {h: k for k, h in found[0]}
+    lines = [boilerplate.tokens_of(x) for x in ("an own line of the page", f"a {notice} b", "short")]
+    assert [round(x, 3) for x in boilerplate.spanned(lines, known)] == [0, 0.875, 0]
+
+
 # ---- problem 6
 
 
