@@ -100,11 +100,12 @@ class Automaton:
         return out
 
 
-def _blocks(items: list[tuple[int, list[str]]], size: int) -> list[list[tuple[int, list[str]]]]:
-    """Items in blocks of at most `size` words; an item over the size is a block of its own."""
+def _blocks(items: list[tuple[int, list[str]]], size: int, least: int = LEAST_WORDS) -> list[list[tuple[int, list[str]]]]:
+    """Items in blocks of at most `size` words (or `2 * least`); an item over it is cut into pieces that overlap by all but one word of a run of `least`, so that each such run stands in a piece."""
     out: list[list[tuple[int, list[str]]]] = [[]]
     held = 0
-    for item, words in items:
+    size = max(size, 2 * least)
+    for item, words in ((i, w[at : at + size]) for i, w in items for at in range(0, max(1, len(w) - least + 1), size - least + 1)):
         if out[-1] and held + len(words) > size:
             out.append([])
             held = 0
@@ -116,7 +117,7 @@ def _blocks(items: list[tuple[int, list[str]]], size: int) -> list[list[tuple[in
 def _automata(items: DataFrame, least: int, size: int) -> list[Automaton]:
     rows = items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator()
     kept = sorted((r[0], w) for r in rows if len(w := words_of(r[1])) >= least)
-    return [Automaton(b, least) for b in _blocks(kept, size) if b]
+    return [Automaton(b, least) for b in _blocks(kept, size, least) if b]
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, size: int = WORDS_PER_BLOCK) -> DataFrame:
@@ -127,26 +128,19 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, size: int
     shorter texts match nothing; repeated rows count once.
     """
     sc = docs.sparkSession.sparkContext
-    found = None
-    for a in _automata(items, least, size):
-        shared = sc.broadcast(a)
-
-        def make(shared=shared):  # noqa: ANN001, ANN202
-            a = shared.value
+    # blocks are bounded; where there are several, each document meets one after the other in the same task
+    shared = [sc.broadcast(a) for a in _automata(items, least, size)]
+    if not shared:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
 
-            def one(doc, text):  # noqa: ANN001, ANN202
-                hit: set[int] = set()
-                for _, _, got in a.matches(words_of(text)):
-                    hit |= got
-                return [(doc, i) for i in sorted(hit)]
+    def make():  # noqa: ANN202
+        def one(doc, text):  # noqa: ANN001, ANN202
+            words = words_of(text)
+            return [(doc, i) for i in sorted({i for b in shared for _, _, got in b.value.matches(words) for i in got})]
 
-            return one
+        return one
 
-        part = per_row(docs.select("doc_id", "text").where("text is not null"), make, "doc_id long, item_id long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    return found.distinct()
+    return per_row(docs.select("doc_id", "text").where("text is not null"), make, "doc_id long, item_id long").distinct()
 
 
 def scrubbed(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, coverage: float = 0.5, size: int = WORDS_PER_BLOCK) -> DataFrame:

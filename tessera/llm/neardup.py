@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.filters import SLICES, filter_of, gathered, may_hold
 from tessera.llm.groups import components
 from tessera.operators.skew import lookup
 from tessera.plans.durable import durable
@@ -52,13 +53,10 @@ _WORD = re.compile(r"[^\W_]+")
 NARROW, WIDE, WIDE_FROM = 24, 72, 128
 #: Most counters of the frequency sketch that orders shingles; smaller inputs have fewer. One byte each when broadcast: 16 MB.
 MOST_COUNTERS = 1 << 24
-_SLICES = 512
 #: Texts of a bucket whose candidates are listed as pairs, and texts that are joined in one block beyond.
 SMALL, BLOCK = 128, 2048
 #: Postings in one task, about 15 MB.
 POSTINGS_PER_TASK = 750_000
-#: Most bits of the filter for the sets that candidates need: 16 MB.
-MOST_BITS = 1 << 27
 #: Node pairs and rows that are walked at once.
 PAIRS, ROWS = 1 << 18, 1 << 15
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -291,53 +289,22 @@ def _counted(counters: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             flat = _set(b"".join(batch.column(0).slice(at, 4096).to_pylist()))
             slot, n = np.unique(flat & np.uint64(counters - 1), return_counts=True)
             count[slot.astype(np.int64)] += n.astype(np.uint32)
-    for i, x in enumerate(np.minimum(count, 65535).astype(np.uint16).reshape(_SLICES, -1)):
+    for i, x in enumerate(np.minimum(count, 65535).astype(np.uint16).reshape(SLICES, -1)):
         if x.any():
             yield _arrow("slice counts", pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()))
 
 
-def _marked(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks = np.zeros(bits // 8, dtype=np.uint8)
-    for batch in batches:
-        for at in _slots(batch.column(0), bits):
-            np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    for i, x in enumerate(marks.reshape(_SLICES, -1)):
-        if x.any():
-            yield _arrow("slice counts", pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()))
-
-
-def _slots(digests: pa.Array, bits: int) -> list[np.ndarray]:
-    halves = _set(b"".join(digests.to_pylist())).reshape(-1, 2)
-    return [(halves[:, i] & np.uint64(bits - 1)).astype(np.int64) for i in (0, 1)]
-
-
-def _united(part: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"slice": part["slice"][:1], "ranks": [np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in part["counts"]]).tobytes()]})
-
-
-def _gathered(parts: DataFrame, join, size: int) -> np.ndarray:  # noqa: ANN001
-    out = np.zeros(size, dtype=np.uint8)
-    for r in parts.groupBy("slice").applyInPandas(lambda part: join(part), "slice int, ranks binary").collect():
-        out[r["slice"] * (size // _SLICES) :][: size // _SLICES] = np.frombuffer(r["ranks"], dtype=np.uint8)
-    return out
-
-
 def _passing(marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """Rows (digest, shingles) whose digest may be among the marked ones."""
     marks = marks.value
     for batch in batches:
         if batch.num_rows:
-            ok = np.ones(batch.num_rows, bool)
-            for at in _slots(batch.column(0), len(marks) * 8):
-                ok &= (marks[at >> 3] >> (at & 7) & 1) == 1
-            yield batch.filter(pa.array(ok))
+            yield batch.filter(pa.array(may_hold(marks, batch.column(0).to_pylist())))
 
 
 def sets_of(sets: DataFrame, digests: DataFrame) -> DataFrame:
     """The rows of `sets` (digest, shingles) that `digests` names, and few others: a filter of bounded size goes to the sets, so that they needn't be shuffled to be chosen."""
-    n = digests.count()
-    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
-    marks = _gathered(digests.mapInArrow(partial(_marked, bits), "slice int, counts binary"), _united, bits // 8)
+    marks = filter_of(digests)
     return sets.mapInArrow(partial(_passing, sets.sparkSession.sparkContext.broadcast(marks)), "digest binary, shingles binary")
 
 
@@ -356,7 +323,7 @@ def shingle_ranks(sets: DataFrame, counters: int) -> np.ndarray:
 
     Only the order by rarity and what is certainly a shingle of one text are taken from it, so its noise costs time but no link.
     """
-    return _gathered(sets.select("shingles").mapInArrow(partial(_counted, counters), "slice int, counts binary"), _summed, counters)
+    return gathered(sets.select("shingles").mapInArrow(partial(_counted, counters), "slice int, counts binary"), _summed, counters)
 
 
 _PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary, hot_key long, hot_code binary"

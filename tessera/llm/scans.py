@@ -15,6 +15,7 @@ corpus, and a word that texts which weren't scanned use as well is none.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.filters import filter_of, may_hold
 from tessera.plans.durable import durable
 from tessera.sources.tables import table
 
@@ -40,8 +42,6 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 DIVIDERS = "-‐‑­¬"
 #: A misread word is at most one such part as frequent as the right one, which has at least so many occurrences.
 RATIO, FREQUENT = 8, 8
-#: Of the words that can't be misread ones, the most frequent aren't marked; a list of fixed length that only saves work.
-STOP_WORDS = 3000
 _TOKEN = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(rf"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
 _DIVIDED = re.compile(rf"(?<![^\W_])([^\W_][^\W_]*)[{DIVIDERS}]$")
@@ -215,30 +215,56 @@ def body_words(lines: list[str], out: list[bool]) -> tuple[list[tuple[int, str,
     return divided, words
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and compounds of texts, apart for scanned and other ones."""
+def _furnished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the places of their furniture lines."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [[i for i, o in enumerate(furniture_of(text.split("\n"))) if o] for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=["parsed_id", "text", "furniture"])
+
+
+def _counts(seen: Counter[str], scanned: bool) -> pa.RecordBatch:
+    n, none = pa.array(seen.values(), pa.int64()), pa.array([0] * len(seen), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *((none, n) if scanned else (n, none))], names=["word", "clean", "scan"])
+
+
+def _compounds(lines: list[str]) -> Iterator[str]:
+    for x in lines:
+        if "-" in x or "‐" in x or "‑" in x:
+            yield from (re.sub("[‐‑]", "-", c) for c in _COMPOUND.findall(x.lower()))
+
+
+def _count_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and compounds of texts that weren't scanned."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            seen: Counter[str] = Counter()
+            for text in batch.column(0).slice(at, 1024).to_pylist():
+                seen.update(_TOKEN.findall(text.lower()))
+                seen.update(_compounds(text.split("\n")))
+            yield _counts(seen, False)
+
+
+def _count_scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and compounds of scanned texts (text, furniture), without their furniture and divided words."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-            for scanned, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
+            seen: Counter[str] = Counter()
+            for text, furniture in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 lines = text.split("\n")
-                if scanned:
-                    out = furniture_of(lines)
-                    seen[1].update(w.lower() for _, w in body_words(lines, out)[1])
-                    lines = [x for x, o in zip(lines, out, strict=True) if not o]
-                else:
-                    seen[0].update(_TOKEN.findall(text.lower()))
-                for x in lines:
-                    if "-" in x or "‐" in x or "‑" in x:
-                        seen[scanned].update(re.sub("[‐‑]", "-", c) for c in _COMPOUND.findall(x.lower()))
-            rows = [(w, n, 0) for w, n in seen[0].items()] + [(w, 0, n) for w, n in seen[1].items()]
-            rows = [r for r in rows if len(r[0]) <= 60]
-            if rows:
-                a, b, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["word", "clean", "scan"])
+                out = _flags(lines, furniture)
+                seen.update(w.lower() for _, w in body_words(lines, out)[1])
+                seen.update(_compounds([x for x, o in zip(lines, out, strict=True) if not o]))
+            yield _counts(seen, True)
+
+
+def _flags(lines: list[str], furniture: list[int]) -> list[bool]:
+    out = [False] * len(lines)
+    for i in furniture:
+        out[i] = True
+    return out
 
 
 def anagram_value(word: Column) -> Column:
@@ -307,16 +333,30 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
 _MARK = "parsed_id long, line_no int, kind string, word string, left string, right string, next_no int"
 
 
-def _mark(stop: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Wanted(dict):
+    """Whether a word may be among those of a filter."""
+
+    def __init__(self, marks) -> None:  # noqa: ANN001
+        self.marks = marks
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = bool(may_hold(self.marks, [hashlib.md5(word.encode(), usedforsecurity=False).digest()])[0])
+        return got
+
+
+def _mark(marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    wanted = _Wanted(marks.value)
     names = [x.split()[0] for x in _MARK.split(", ")]
     kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             rows = []
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for key, text, furniture in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 lines = text.split("\n")
-                out = furniture_of(lines)
+                out = _flags(lines, furniture)
                 rows += [(key, i + 1, "furniture", None, None, None, None) for i, o in enumerate(out) if o]
                 divided, words = body_words(lines, out)
                 for i, left, right, j in divided:
@@ -326,7 +366,7 @@ def _mark(stop: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[p
                         rows.append((key, i + 1, "sure", None, None, None, None))
                     if _SURE.search(right) or _MIXED.search(right):
                         rows.append((key, j + 1, "sure", None, None, None, None))
-                rows += [(key, i + 1, "word", w, None, None, None) for i, w in {(i, w.lower()) for i, w in words} if w not in stop]
+                rows += [(key, i + 1, "word", w, None, None, None) for i, w in {(i, w.lower()) for i, w in words} if wanted[w]]
                 body = [i for i, o in enumerate(out) if not o and lines[i].strip()]
                 rows += [(key, i + 1, "sure", None, None, None, None) for i in body if _SURE.search(lines[i]) or _MIXED.search(lines[i])]
             if rows:
@@ -342,11 +382,14 @@ def damage(parsed: DataFrame) -> DataFrame:
     Null, empty and blank texts have no rows; a repeated row counts once.
     """
     flagged = parsed.where("parsed_id is not null and text is not null and trim(text) <> ''").select("parsed_id", is_scan().alias("scanned"), "text")
-    vocabulary = durable(flagged.select("scanned", "text").mapInArrow(_count, "word string, clean long, scan long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")))
-    top = vocabulary.where("clean > 0").where(~_rare(vocabulary)).orderBy(F.desc(F.col("clean") + F.col("scan")), "word").limit(STOP_WORDS)
-    stop = frozenset(r[0] for r in top.select("word").collect())
-    marks = durable(flagged.where("scanned").select("parsed_id", "text").mapInArrow(lambda it: _mark(stop, it), _MARK).distinct())
+    scans = durable(flagged.where("scanned").select("parsed_id", "text").mapInArrow(_furnished, "parsed_id long, text string, furniture array<int>"))
+    counted = "word string, clean long, scan long"
+    words = flagged.where("not scanned").select("text").mapInArrow(_count_clean, counted).unionByName(scans.select("text", "furniture").mapInArrow(_count_scanned, counted))
+    vocabulary = durable(words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")))
     right = durable(corrections(vocabulary))
+    # only words that have a correction are marked: a filter of bounded size tells them
+    known = flagged.sparkSession.sparkContext.broadcast(filter_of(right.select(F.unhex(F.md5(F.col("word").cast("binary"))))))
+    marks = durable(scans.mapInArrow(lambda it: _mark(known, it), _MARK).distinct())
     furniture = marks.where("kind = 'furniture'").select("parsed_id", "line_no", F.lit("furniture").alias("fault"), *_nulls("word", "meant", "left"))
     sure = marks.where("kind = 'sure'").select("parsed_id", "line_no", F.lit("glyph").alias("fault"), *_nulls("word", "meant", "left"))
     wrong = marks.where("kind = 'word'").join(right, "word").select("parsed_id", "line_no", F.lit("glyph").alias("fault"), "word", "meant", *_nulls("left"))
