@@ -294,9 +294,8 @@ class Engine:
             return made.count()
         fresh = durable(fresh)
         # matches are greedy in the order of clusters, over the overlaps only
-        shared = O.best_jaccard(fresh.select(F.col("k").alias("cluster"), "members"), mine.select("concept_id", "members"))
-        used = O.matched_once(shared)
-        match = self.spark.createDataFrame([(k, c, float(j)) for k, (c, j) in used.items()], "k string, old_id string, jaccard double")
+        found = O.matched_once(O.overlaps(fresh.select(F.col("k").alias("cluster"), "members"), mine.select("concept_id", "members")))
+        match = found.select(F.col("cluster").alias("k"), F.col("concept_id").alias("old_id"), "jaccard")
         joined = fresh.join(match, "k", "left").where("jaccard is null or jaccard < 1")
         before = mine.select(F.col("concept_id").alias("old_id"), F.col("version").alias("old_version"), F.col("created_at").alias("old_created"), F.col("embedding_version").alias("old_embedding"))
         joined = joined.join(before, "old_id", "left")

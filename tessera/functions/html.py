@@ -11,7 +11,7 @@ PRUNED = frozenset("script style nav footer header".split())
 PRUNED_ONLINE = PRUNED | {"aside"}
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = re.compile(r"(^|[\s_-])(ad|ads|banner|cookie)([\s_-]|$)")
+BOILERPLATE = re.compile(r"(^|[\s_-])(ad|ads|banner|cookie)([\s_-]|$)", re.IGNORECASE)
 
 
 @dataclass
@@ -92,12 +92,16 @@ def _first(root: Node, want) -> Node | None:  # noqa: ANN001
     return next((n for n in root.walk() if want(n)), None)
 
 
+def _blocks_or_all(node: Node) -> str:
+    return blocks(node) or collapse(node.text())
+
+
 def html_text(html: str | None) -> str:
-    """Text of a stored page: the blocks of its body."""
+    """Text of a stored page: the blocks of its body, or all its text as one where there is no block."""
     if not html:
         return ""
     root = prune(parse(html), PRUNED, False)
-    return blocks(_first(root, lambda n: n.tag == "body") or root)
+    return _blocks_or_all(_first(root, lambda n: n.tag == "body") or root)
 
 
 def page_text(html: str | None) -> str:
@@ -108,5 +112,5 @@ def page_text(html: str | None) -> str:
     title = _first(root, lambda n: n.tag == "title")
     about = _first(root, lambda n: n.tag == "meta" and n.attrs.get("name", "").lower() == "description")
     main = _first(root, lambda n: n.tag in ("main", "article") or n.attrs.get("role") == "main") or _first(root, lambda n: n.tag == "body") or root
-    parts = [f"# {collapse(title.text())}" if title and collapse(title.text()) else "", collapse(about.attrs.get("content", "")) if about else "", blocks(main)]
+    parts = [f"# {collapse(title.text())}" if title and collapse(title.text()) else "", collapse(about.attrs.get("content", "")) if about else "", _blocks_or_all(main)]
     return "\n\n".join(p for p in parts if p)

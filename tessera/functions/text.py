@@ -30,6 +30,7 @@ def approx_tokens(c: Column) -> Column:
 
 def clean_pdf_text(c: Column) -> Column:
     """Soft line breaks joined, three or more line ends as two, words divided at line ends joined, in this order."""
+    # fixed values: patterns and bounds
     c = F.regexp_replace(c, r"([a-z,])\n([a-z])", "$1 $2")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     c = F.regexp_replace(c, r"-\n([a-z])", "$1")
@@ -38,6 +39,7 @@ def clean_pdf_text(c: Column) -> Column:
 
 def is_noise_line(line: Column) -> Column:
     """Page numbers, `page x of y`, short chapter marks, lone form feeds."""
+    # fixed values: patterns and bounds
     t = strip_all(line)
     return (
         t.rlike(r"^\d{1,4}\z")
@@ -55,6 +57,7 @@ def strip_pattern_noise(c: Column) -> Column:
 
 def is_header(line: Column) -> Column:
     """Reads like a heading: at most 80 characters and 10 parts, begins with A-Z, ends in no sentence sign."""
+    # fixed values: patterns and bounds
     t = strip_all(line)
     return (t != "") & (F.length(t) <= 80) & ~t.rlike(r"[.!?,;]\z") & t.rlike("^[A-Z]") & (F.size(F.split(t, " ")) <= 10)
 
@@ -65,6 +68,7 @@ def _lines(c: Column) -> Column:
 
 def is_citation_chunk(c: Column) -> Column:
     """Over half of at least two lines read like entries of a bibliography. Null is none."""
+    # fixed values: patterns and bounds
     lines = _lines(c)
     hits = F.filter(lines, lambda x: x.startswith("^ ") | x.rlike(r"^[A-Z][a-z]+.{0,60}\(\d{4}\)"))
     return F.coalesce((F.size(lines) >= 2) & (F.size(hits) / F.greatest(F.size(lines), F.lit(1)) > 0.5), F.lit(False))
@@ -72,6 +76,7 @@ def is_citation_chunk(c: Column) -> Column:
 
 def is_glossary_chunk(c: Column) -> Column:
     """Over 45 % of at least four lines read like entries of a glossary. Null is none."""
+    # fixed values: patterns and bounds
     lines = _lines(c)
     hits = F.filter(
         lines,
@@ -117,10 +122,10 @@ def parse_tags(c: Column) -> Column:
 
 
 def json_ids(c: Column) -> Column:
-    """The strings of a JSON array that aren't empty; an empty array for all else. Members that aren't strings go."""
-    raw = F.from_json(c, "array<string>")
-    # from_json renders numbers and nested values as strings; only members that stand in quotes in the text are kept
-    return F.coalesce(F.filter(raw, lambda x: x.isNotNull() & (x != "") & F.contains(c, F.concat(F.lit('"'), x, F.lit('"')))), F.array().cast("array<string>"))
+    """The strings of a valid JSON array that aren't empty, whatever escapes they are written with; an empty array for all else. Members that aren't strings go."""
+    members = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    strings = F.transform(F.filter(members, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return F.coalesce(F.filter(strings, lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def clock(seconds: Column) -> Column:

@@ -8,7 +8,11 @@ from pyspark.sql.window import Window
 
 from tessera.config import CONFIG, SUPPORTING
 from tessera.functions import weights as W
-from tessera.operators.skew import lookup
+from tessera.operators.skew import hot_keys, lookup
+from tessera.plans.durable import durable
+
+#: Parts that a member many hold is dealt to.
+_PARTS = 64
 
 
 def reweighted(edges: DataFrame, as_of: Column) -> DataFrame:
@@ -117,45 +121,86 @@ def apply_weights(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.join(n, F.col("edge_id") == F.col("k"), "left").withColumn("weight", F.coalesce("new_weight", "weight")).drop("k", "new_weight")
 
 
-def best_jaccard(clusters: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(cluster, concept_id, overlap, jaccard): of each cluster (cluster, members) the concept (concept_id, members) of greatest Jaccard, ties by id.
+def member_overlaps(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(x, y, overlap, jaccard) of all pairs that share a member. x: x, members. y: y, members.
 
-    Overlaps are counted over shared members, so pairs without one are never made.
+    Overlaps are counted over shared members, so pairs without one are never made. A member that
+    many hold on either side is split: one side's rows of it are dealt to parts and the other side's go to each.
     """
-    a = clusters.select("cluster", F.size("members").alias("na"), F.explode("members").alias("m"))
-    b = concepts.select("concept_id", F.size("members").alias("nb"), F.explode("members").alias("m"))
-    both = a.join(b, "m").groupBy("cluster", "concept_id").agg(F.count("*").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    scored = both.select("cluster", "concept_id", "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard"))
+    a = x.select("x", F.size("members").alias("na"), F.explode(F.array_distinct("members")).alias("m"))
+    b = y.select("y", F.size("members").alias("nb"), F.explode(F.array_distinct("members")).alias("m"))
+    hot = hot_keys(a, "m")
+    parts = F.when(F.col("m").isin(hot), F.lit(_PARTS)).otherwise(F.lit(1)) if hot else F.lit(1)
+    a = a.withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int"))
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    both = a.join(b, ["m", "part"]).groupBy("x", "y").agg(F.count("*").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return both.select("x", "y", "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard"))
+
+
+def overlaps(clusters: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(cluster, concept_id, overlap, jaccard) of every cluster (cluster, members) with every concept (concept_id, members) that shares a member."""
+    found = member_overlaps(clusters.select(F.col("cluster").alias("x"), "members"), concepts.select(F.col("concept_id").alias("y"), "members"))
+    return found.withColumnsRenamed({"x": "cluster", "y": "concept_id"})
+
+
+def best_jaccard(clusters: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(cluster, concept_id, overlap, jaccard): of each cluster (cluster, members) the concept (concept_id, members) of greatest Jaccard, ties by id."""
     w = Window.partitionBy("cluster").orderBy(F.desc("jaccard"), "concept_id")
-    return scored.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return overlaps(clusters, concepts).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def matched_once(scored: DataFrame) -> dict:
-    """Greedy match in cluster order: the best concept that no cluster before it has used. scored: (cluster, concept_id, jaccard) rows of a bounded run."""
-    used, out = set(), {}
-    for r in sorted(scored.collect(), key=lambda r: (r["cluster"], -r["jaccard"], r["concept_id"])):
-        if r["cluster"] not in out and r["concept_id"] not in used:
-            out[r["cluster"]] = (r["concept_id"], r["jaccard"])
-            used.add(r["concept_id"])
-    return out
+def matched_once(scored: DataFrame) -> DataFrame:
+    """(cluster, concept_id, jaccard): in the order of clusters each takes its best concept that none before it has taken, ties by id. scored: all overlaps.
+
+    Every cluster asks for its best concept; a concept keeps the first of those that ask and the pairs of the others
+    go; this is repeated until all that ask are kept. What comes out is the match in the order of clusters, and nothing is collected.
+    """
+    left = durable(scored.select("cluster", "concept_id", "jaccard"))
+    while True:
+        asks = left.groupBy("cluster").agg(F.min(F.struct((-F.col("jaccard")).alias("o"), "concept_id")).alias("b")).select("cluster", F.col("b.concept_id").alias("concept_id"), (-F.col("b.o")).alias("jaccard"))
+        asks = durable(asks)
+        first = asks.groupBy(F.col("concept_id").alias("k")).agg(F.min("cluster").alias("holder"))
+        refused = asks.join(first, F.col("concept_id") == F.col("k")).where("cluster <> holder").select("cluster", "concept_id")
+        if refused.isEmpty():
+            return asks
+        left = durable(left.join(refused, ["cluster", "concept_id"], "left_anti"))
 
 
 def merge_candidates(concepts: DataFrame, jaccard: float = CONFIG.merge_jaccard) -> DataFrame:
     """(a, b, jaccard): pairs of concepts, a < b, of one database whose members overlap enough. concepts: concept_id, database_id, members."""
-    x = concepts.select(F.col("concept_id").alias("a"), "database_id", F.size("members").alias("na"), F.explode("members").alias("m"))
-    y = concepts.select(F.col("concept_id").alias("b"), F.col("database_id").alias("db"), F.size("members").alias("nb"), F.explode("members").alias("m"))
-    both = x.join(y, "m").where("a < b and database_id = db").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return both.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard")).where(F.col("jaccard") >= jaccard)
-
-
-def merge_pairs(concepts: list[dict], candidates: list[tuple[str, str]]) -> tuple[list[dict], set[str]]:
-    """Fold candidate pairs in order: the first takes the second's members, its version is the greater plus one, the second goes. A concept that is gone takes no part."""
-    by = {c["concept_id"]: dict(c) for c in concepts}
-    gone: set[str] = set()
-    for a, b in sorted(candidates):
-        if a in gone or b in gone:
-            continue
-        by[a]["members"] = sorted(set(by[a]["members"]) | set(by[b]["members"]))
-        by[a]["version"] = max(by[a]["version"], by[b]["version"]) + 1
-        gone.add(b)
-    return [c for k, c in by.items() if k not in gone], gone
+    x = concepts.select(F.struct("database_id", "concept_id").alias("x"), "members")
+    found = member_overlaps(x, x.withColumnRenamed("x", "y")).where("x.database_id = y.database_id and x.concept_id < y.concept_id")
+    return found.select(F.col("x.concept_id").alias("a"), F.col("y.concept_id").alias("b"), "jaccard").where(F.col("jaccard") >= jaccard)
+
+
+def merge_pairs(candidates: DataFrame) -> DataFrame:
+    """(gone, into): which concept takes which when candidate pairs (a, b) are folded in their order; a concept that is gone takes no part.
+
+    A pair counts unless a pair before it has removed one of its ends. A concept is only removed by a lesser one, so a concept
+    stays exactly if none that stays is paired with it from below; it goes into the least that does.
+    """
+    pairs = left = durable(candidates.select("a", "b").where("a < b").distinct())
+    gone = left.select("b").where("false")
+    while True:
+        # those that nothing undecided threatens stay, and remove what they are paired with
+        staying = durable(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        now = durable(left.join(staying, "a", "left_semi").select("b").distinct())
+        if now.isEmpty():
+            break
+        gone = durable(gone.unionByName(now))
+        for end, out in (("a", staying.withColumnRenamed("a", "k")), ("b", now.withColumnRenamed("b", "k")), ("a", now.withColumnRenamed("b", "k"))):
+            left = left.join(out, F.col(end) == F.col("k"), "left_anti")
+        left = durable(left)
+    by = pairs.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+    return by.groupBy(F.col("b").alias("gone")).agg(F.min("a").alias("into"))
+
+
+def merged(concepts: DataFrame, into: DataFrame, as_of: Column) -> DataFrame:
+    """Concepts with the members of those that go into them, their version the greatest of all plus one; the others are as they were. into: gone, into."""
+    gone = into.select(F.col("gone").alias("k"), "into")
+    named = concepts.select("concept_id", "members", "version").join(gone, F.col("concept_id") == F.col("k"), "left")
+    grouped = named.select(F.coalesce("into", "concept_id").alias("k"), "members", "version", F.col("into").isNotNull().alias("taken"))
+    new = grouped.where("taken").select("k").distinct().join(grouped.drop("taken"), "k")
+    new = new.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("new_members"), (F.max("version") + 1).alias("new_version"))
+    kept = concepts.join(gone.select("k"), F.col("concept_id") == F.col("k"), "left_anti").join(new, F.col("concept_id") == F.col("k"), "left")
+    return kept.withColumns({"members": F.coalesce("new_members", "members"), "version": F.coalesce("new_version", "version").cast("int"), "last_updated": F.when(F.col("new_version").isNotNull(), as_of).otherwise(F.col("last_updated"))}).select(*concepts.columns)

@@ -9,6 +9,7 @@ from tessera.config import CONFIG
 from tessera.operators.expand import conflicts, expand
 from tessera.operators.fusion import fused, rescored, top_k
 from tessera.operators.knn import knn
+from tessera.plans.durable import durable
 
 
 def concept_hits(queries: DataFrame, concepts: DataFrame, k: int = CONFIG.concept_top_k, least: float = CONFIG.concept_min_score) -> DataFrame:
@@ -56,7 +57,8 @@ def hybrid(
     cut. A query without seeds has no rows; one with a single candidate keeps it whatever its score.
     """
     seeds = knn(queries, vectors, max(10, top), same).select("q", "id", F.col("sim").alias("score"))
-    pool = expand(seeds, edges, hops, relationships=relationships)
+    # the pool is read for the cut and for the contradictions; it is small beside what it is made from, so it is written once
+    pool = durable(expand(seeds, edges, hops, relationships=relationships))
     graph = F.when(F.col("depth") > 0, F.col("score")).otherwise(0.0)
     if prior is not None:
         pool = pool.join(prior.select("q", "id", "prior"), ["q", "id"], "left")

@@ -33,10 +33,10 @@ def _docs(spark, d, *cols):  # noqa: ANN001, ANN202
 
 def _parsed(spark, d):  # noqa: ANN001, ANN202
     p = table(spark, d, "parsed_documents", "parsed_id", "source", "text").where("parsed_id is not null")
-    return p.groupBy("parsed_id").agg(F.max("source").alias("source"), F.max("text").alias("text"))
+    return V.one_row(p, "parsed_id", "text", "source")
 
 
-_P = "parsed_v as (select parsed_id, max(source) as source, max(text) as text from parsed_documents where parsed_id is not null group by 1)"
+_P = "parsed_v as (select parsed_id, source, text from parsed_documents where parsed_id is not null qualify row_number() over (partition by parsed_id order by text desc nulls last, source desc nulls last)=1)"
 
 
 @query("normalize_text", f"select doc_id, md5({_norm('text')}) as hash, length({_norm('text')}) as chars from documents where text is not null")

@@ -18,10 +18,8 @@ _DB = "coalesce(nullif(database_id,''),'default')"
 _NODE = "nullif(lower(trim({0},' '||chr(9))),'')"
 
 VIEWS = {
-    "chunks_v": f"""select chunk_id, max(text) as text, max(source) as source, max(page) as page, max({_moment("timestamp")}) as ts,
-        max(access_count) as access_count, max({_moment("last_accessed")}) as last_accessed, max(tags) as tags, max(metadata) as metadata,
-        max(is_duplicate) as is_duplicate, max(contradiction_flag) as contradiction_flag, max({_DB}) as database_id
-        from chunks where chunk_id is not null group by chunk_id""",
+    "chunks_v": f"""select * from (select chunk_id, text, source, page, {_moment("timestamp")} as ts, access_count, {_moment("last_accessed")} as last_accessed, tags, metadata, is_duplicate, contradiction_flag, {_DB} as database_id
+        from chunks where chunk_id is not null) qualify row_number() over (partition by chunk_id order by access_count desc nulls last, last_accessed desc nulls last, ts desc nulls last, text desc nulls last, source desc nulls last, page desc nulls last, tags desc nulls last, metadata desc nulls last, is_duplicate desc nulls last, contradiction_flag desc nulls last, database_id desc nulls last)=1""",
     "edges_v": f"""select * from (select edge_id, {_NODE.format("source_chunk")} as source_chunk, {_NODE.format("target_chunk")} as target_chunk, relationship,
         weight, confidence, {_moment("created_at")} as created_at, {_moment("last_reinforced")} as last_reinforced, {_DB} as database_id, access_count,
         support_count, contradict_count, seen_count, {_moment("last_seen")} as last_seen, avg_sim, evidence_score, weight_version from connections)
@@ -31,12 +29,11 @@ VIEWS = {
         {_moment("created_at")} as created_at, {_moment("last_updated")} as last_updated, {_DB} as database_id, confidence,
         coalesce(version,1) as version, coalesce(embedding_version,0) as embedding_version from concepts where concept_id is not null
         qualify row_number() over (partition by concept_id order by {_moment("last_updated")} desc nulls last, label desc nulls last, summary desc nulls last)=1""",
-    "ingest_v": f"""select event_id, max(source) as source, max(chunks_stored) as chunks_stored, max(chunks_skipped) as chunks_skipped,
-        max(connections_seeded) as connections_seeded, max(tags) as tags, max({_moment("timestamp")}) as ts, max({_DB}) as database_id
-        from ingest_events where event_id is not null group by event_id""",
-    "coaccess_v": f"""select event_id, query_hash, ts, database_id, ids from (select *, list_distinct_ordered(raw) as ids from (select event_id, {_ids("chunk_ids")} as raw, query_hash, ts, database_id
-        from (select event_id, max(chunk_ids) as chunk_ids, max(query_hash) as query_hash, max("timestamp") as ts, max({_DB}) as database_id
-        from co_access_events where event_id is not null group by event_id)))""".replace("list_distinct_ordered(raw)", "list_filter(raw, lambda x, i: list_position(raw, x)=i)"),
+    "ingest_v": f"""select * from (select event_id, source, chunks_stored, chunks_skipped, connections_seeded, tags, {_moment("timestamp")} as ts, {_DB} as database_id from ingest_events where event_id is not null)
+        qualify row_number() over (partition by event_id order by ts desc nulls last, chunks_stored desc nulls last, chunks_skipped desc nulls last, connections_seeded desc nulls last, source desc nulls last, tags desc nulls last, database_id desc nulls last)=1""",
+    "coaccess_v": f"""select event_id, query_hash, ts, database_id, list_filter(raw, lambda x, i: list_position(raw, x)=i) as ids from (select event_id, {_ids("chunk_ids")} as raw, query_hash, ts, database_id
+        from (select event_id, chunk_ids, query_hash, query_embedding, "timestamp" as ts, {_DB} as database_id from co_access_events where event_id is not null)
+        qualify row_number() over (partition by event_id order by ts desc nulls last, chunk_ids desc nulls last, query_hash desc nulls last, database_id desc nulls last, query_embedding desc nulls last)=1)""",
     "vectors_v": "select vec_id, cast(embedding as double[]) as v, label, 'db'||cast(label%2 as varchar) as database_id from embeddings",
 }
 _NEEDS = {"knn_v": ("vectors_v",), "vedges_v": ("edges_v", "vectors_v"), "vchunks_v": ("chunks_v", "vectors_v"), "seeds_v": ("vectors_v",), "walks_v": ("seeds_v", "vedges_v"), "vconcepts_v": ("vectors_v",)}

@@ -23,11 +23,17 @@ def node_id(c: str) -> Column:
     return F.nullif(F.lower(F.trim(F.col(c), F.lit(" \t"))), F.lit(""))
 
 
+def one_row(t: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of the rows of each key the greatest by the columns of `order`, then by all others; nulls come last. Rows are taken whole, so none comes out that never was."""
+    cols = [*order, *(c for c in t.columns if c != key and c not in order)]
+    return t.groupBy(key).agg(F.max(F.struct(*cols)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in t.columns if c != key])
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per chunk_id. Of rows delivered twice the greatest value of each column stays, so of access counts the latest."""
+    """One row per chunk_id: of rows delivered twice the one of the greatest access count, the latest; then the latest by its times."""
     t = table(spark, sf_dir, "chunks").where("chunk_id is not null")
     t = t.withColumns({"timestamp": moment("timestamp"), "last_accessed": moment("last_accessed"), "database_id": database()})
-    return t.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in t.columns if c != "chunk_id"])
+    return one_row(t, "chunk_id", "access_count", "last_accessed", "timestamp", "text", "source", "page", "tags", "metadata", "is_duplicate", "contradiction_flag", "database_id")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "ingest_events").where("event_id is not null").withColumns({"timestamp": moment("timestamp"), "database_id": database()})
-    return t.groupBy("event_id").agg(*[F.max(c).alias(c) for c in t.columns if c != "event_id"])
+    return one_row(t, "event_id", "timestamp", "chunks_stored", "chunks_skipped", "connections_seeded", "source", "tags", "database_id")
 
 
 def co_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def co_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.text import json_ids
 
     t = table(spark, sf_dir, "co_access_events").where("event_id is not null").withColumn("database_id", database())
-    t = t.groupBy("event_id").agg(*[F.max(c).alias(c) for c in t.columns if c != "event_id"])
+    t = one_row(t, "event_id", "timestamp", "chunk_ids", "query_hash", "database_id", "query_embedding")
     return t.withColumn("ids", F.array_distinct(F.transform(json_ids(F.col("chunk_ids")), lambda x: F.lower(F.trim(x, F.lit(" \t"))))))
 
 

@@ -83,7 +83,16 @@ def test_labels_and_tags(spark):
     assert one(spark, X.clock(F.col("n")), n=3725) == "62:05"
 
 
-@pytest.mark.parametrize(("text", "ids"), [('["a","","a",7,null]', ["a", "a"]), ("not json", []), ('["a", "b"', []), ("{}", []), (None, []), ("[]", [])])
+def test_pages_without_blocks_and_capital_classes():
+    from tessera.functions.html import html_text, page_text
+
+    assert html_text("<body><div>Only  a div.</div></body>") == "Only a div."
+    assert html_text("") == html_text(None) == html_text("<body></body>") == ""
+    assert page_text('<body><div class="Cookie-Banner">Accept</div><main><p>Text.</p></main></body>') == "Text."
+    assert page_text("<body><main>Bare.</main></body>") == "Bare."
+
+
+@pytest.mark.parametrize(("text", "ids"), [('["a","","a",7,null]', ["a", "a"]), ("not json", []), ('["a", "b"', []), ("{}", []), (None, []), ("[]", []), (r'["caf\u00e9","x"]', ["café", "x"]), (r'["a\"b"]', ['a"b']), ('["a",1,{"k":"1"}]', ["a"])])
 def test_json_ids(spark, text, ids):
     assert one(spark, X.json_ids(F.col("t")), t=text) == ids
 

@@ -181,9 +181,40 @@ def test_concept_matching(spark):
     co = spark.createDataFrame([("x", ["a", "b", "c"]), ("y", ["d"])], "concept_id string, members array<string>")
     best = {r.cluster: (r.concept_id, r.jaccard) for r in O.best_jaccard(cl, co).collect()}
     assert best[1] == ("x", 1.0) and best[2] == ("x", 0.5) and 3 not in best
-    assert O.matched_once(O.best_jaccard(cl, co)) == {1: ("x", 1.0)}
-    left, gone = O.merge_pairs([{"concept_id": c, "members": m, "version": v} for c, m, v in (("a", ["1", "2"], 1), ("b", ["2", "3"], 4), ("c", ["9"], 1))], [("a", "b"), ("b", "c")])
-    assert gone == {"b"} and {c["concept_id"]: (c["members"], c["version"]) for c in left} == {"a": (["1", "2", "3"], 5), "c": (["9"], 1)}
+    # a cluster whose best is taken takes its next best
+    assert {(r.cluster, r.concept_id) for r in O.matched_once(O.overlaps(cl, co)).collect()} == {(1, "x"), (2, "y")}
+    concepts = spark.createDataFrame([("a", ["1", "2"], 1), ("b", ["2", "3"], 4), ("c", ["9"], 1)], "concept_id string, members array<string>, version int").withColumn("last_updated", F.lit(None).cast("timestamp"))
+    into = O.merge_pairs(spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string"))
+    left = {r.concept_id: (r.members, r.version, r.last_updated is None) for r in O.merged(concepts, into, F.current_timestamp()).collect()}
+    assert left == {"a": (["1", "2", "3"], 5, False), "c": (["9"], 1, True)}
+
+
+def test_matching_and_merging_are_those_of_a_fold(spark):
+    rng = random.Random(11)
+    scored = [(c, f"k{k:02d}", rng.choice([0.1, 0.25, 0.5, 1.0])) for c in range(15) for k in rng.sample(range(12), 4)]
+    used, want = set(), {}
+    for c in range(15):
+        for _, k in sorted((-j, k) for x, k, j in scored if x == c and k not in used)[:1]:
+            want[c] = k
+            used.add(k)
+    df = spark.createDataFrame(scored, "cluster int, concept_id string, jaccard double")
+    assert {r.cluster: r.concept_id for r in O.matched_once(df).collect()} == want
+    assert O.matched_once(df.where("false")).count() == 0
+    pairs = sorted({tuple(sorted(rng.sample(range(20), 2))) for _ in range(30)})
+    gone = {}
+    for a, b in pairs:
+        if a not in gone and b not in gone:
+            gone[b] = a
+    got = O.merge_pairs(spark.createDataFrame(pairs, "a int, b int"))
+    assert {r.gone: r.into for r in got.collect()} == gone
+
+
+def test_a_member_that_many_hold_is_split(spark, monkeypatch):
+    monkeypatch.setattr(O, "hot_keys", lambda df, key: ["h"])
+    cl = spark.createDataFrame([(i, ["h", f"m{i}", "h"]) for i in range(20)], "cluster int, members array<string>")
+    co = spark.createDataFrame([(f"c{i}", ["h", f"m{i}"]) for i in range(5)], "concept_id string, members array<string>")
+    got = {(r.cluster, r.concept_id): (r.overlap, r.jaccard) for r in O.overlaps(cl, co).collect()}
+    assert len(got) == 100 and got[1, "c1"] == (2, 2 / 3) and got[1, "c2"] == (1, 0.25)
 
 
 def test_insert_ignore_and_ingest_toggles(spark):
