@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.filters import SLICES, filter_of, gathered, may_hold
-from tessera.llm.groups import components
+from tessera.operators.components import components
 from tessera.operators.skew import lookup
 from tessera.plans.durable import durable
 from tessera.sources.tables import table

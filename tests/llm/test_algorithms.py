@@ -12,6 +12,7 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import groups, neardup, split
+from tessera.operators.components import components
 
 SLOW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck), phases=[Phase.explicit, Phase.reuse, Phase.generate])
 WORD = re.compile(r"[^\W_]+")
@@ -158,10 +159,10 @@ def test_a_long_path_and_a_star(spark):
     path = spark.range(400).selectExpr("id as u", "id + 1 as v").repartition(6)
     star = spark.range(1000, 1400).selectExpr("1000 as u", "id as v")
     for bound in (50, 1_000_000):
-        got = {r.id: r.root for r in groups.components(path.unionByName(star), bound).collect()}
+        got = {r.id: r.root for r in components(path.unionByName(star), bound).collect()}
         assert len({got.get(i, i) for i in range(401)}) == 1 and len({got.get(i, i) for i in range(1000, 1400)}) == 1
         assert got.get(0, 0) != got.get(1000, 1000)
-    assert groups.components(path.where("false")).count() == 0
+    assert components(path.where("false")).count() == 0
 
 
 def test_spellings_and_bad_json(spark):
