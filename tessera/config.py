@@ -10,6 +10,13 @@ BASE_WEIGHTS = {"supports": 0.8, "contradicts": 0.7, "example_of": 0.75, "caused
 SUPPORTING = ("supports", "example_of", "caused_by")
 DEFAULT_DATABASE = "default"
 UNLABELED = "Unlabeled Concept"
+BENCHMARK_QUERIES = (
+    "What is the main topic of this document?",
+    "How does memory consolidation work?",
+    "What are the key concepts discussed?",
+    "Explain the relationship between learning and memory.",
+    "What methods are used for knowledge representation?",
+)
 NO_CONTEXT = "No relevant information was found."
 
 
@@ -59,6 +66,7 @@ class Config:
     cluster_min_weight: float = 0.6
     merge_jaccard: float = 0.7
     merge_cosine: float = 0.85
+    validation_least: float = 0.3
     leader_cosine: float = 0.85
     hebbian_cosine: float = 0.4
     prior_min_samples: int = 10

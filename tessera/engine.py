@@ -13,24 +13,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import CONFIG, DEFAULT_DATABASE, UNLABELED
+from tessera.config import BENCHMARK_QUERIES, CONFIG, DEFAULT_DATABASE, UNLABELED
 from tessera.functions.chunkers import chunk_table
 from tessera.functions.providers import Providers, embed_column, rerank_column
 from tessera.functions.text import is_citation_chunk, is_glossary_chunk, source_label
 from tessera.operators import consolidate as O
+from tessera.operators import concepts as P
 from tessera.operators import context as C
 from tessera.operators import ingest as I
 from tessera.operators import prior as M
 from tessera.operators import retrieve as R
 from tessera.operators.catalog import Snapshots, create_database, delete_database
 from tessera.operators.clusters import centroids, leader_clusters
-from tessera.operators.components import strong_components
+from tessera.operators.components import splittable, strong_components
 from tessera.operators.expand import inner_edges
+from tessera.operators.documents import script_seconds, script_segments
 from tessera.operators.fusion import blended, merge_layers, ranked, top_k
 from tessera.operators.knn import knn
 from tessera.plans.durable import durable
-from tessera.sources.files import read_documents
-from tessera.streaming.jobs import consolidation_tick
+from tessera.operators.readouts import stats_counts
+from tessera.sources.files import kind_of, read_documents
+from tessera.streaming.jobs import Cadence, consolidation_tick, scan_folder
 
 _SCHEMAS = {
     "memory_databases": "id string, name string, created_at long, description string, config_json string",
@@ -39,6 +42,9 @@ _SCHEMAS = {
     "concepts": "concept_id string, label string, summary string, members array<string>, created_at timestamp, last_updated timestamp, database_id string, confidence double, version int, embedding_version int, v array<double>",
     "ingest_events": "event_id string, source string, chunks_stored int, chunks_skipped int, connections_seeded int, tags string, timestamp timestamp, database_id string",
     "co_access_events": "event_id string, ids array<string>, query_hash string, query_embedding string, timestamp long, database_id string",
+    "access_log": "chunk_id string, n long, at timestamp",
+    "image_vectors": "path string, v array<double>, database_id string",
+    "benchmark_runs": "run_at timestamp, chunks long, connections long, query string, ids array<string>, scores array<double>, ms double",
     "associative_memory": "model_id string, weights array<struct<shape:array<int>,data:array<double>>>, num_concepts int, trained_on int, last_trained long, database_id string",
 }
 
@@ -58,7 +64,21 @@ class Engine:
     # ---- tables and databases
 
     def table(self, name: str) -> DataFrame:
-        return self.store.read(name)
+        """A table as it is now; accesses are logged as additions and counted when chunks are read."""
+        df = self.store.read(name)
+        if name != "chunks":
+            return df
+        log = self.store.read("access_log").groupBy(F.col("chunk_id").alias("k")).agg(F.sum("n").alias("n"), F.max("at").alias("at"))
+        seen = df.join(log, F.col("chunk_id") == F.col("k"), "left")
+        return seen.withColumns({"access_count": (F.coalesce("access_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int"), "last_accessed": F.greatest("last_accessed", "at")}).select(*df.columns)
+
+    def compact(self) -> None:
+        """Write tables of many additions as one, and the logged accesses into the chunks. For times without other writers: one that ends between two tables leaves accesses that count twice."""
+        self.store.write("chunks", self.table("chunks"))
+        self.store.write("access_log", self.spark.createDataFrame([], _SCHEMAS["access_log"]))
+        for name in _SCHEMAS:
+            if self.store.additions(name) > 1:
+                self.store.write(name, self.store.read(name))
 
     def _now(self) -> Column:
         return F.lit(self.clock()).cast("timestamp")
@@ -81,8 +101,8 @@ class Engine:
         return f"db_{name.strip()}"
 
     def delete_database(self, database: str, full: bool = False) -> None:
-        names = [n for n in _SCHEMAS if n != "memory_databases"]
-        catalog, tables = delete_database(self.table("memory_databases"), {n: self.table(n) for n in names}, database, full)
+        names = [n for n in _SCHEMAS if n not in ("memory_databases", "access_log", "benchmark_runs")]
+        catalog, tables = delete_database(self.table("memory_databases"), {n: self.store.read(n) for n in names}, database, full)
         for n, df in tables.items():
             self.store.write(n, df)
         self.store.write("memory_databases", catalog)
@@ -91,18 +111,32 @@ class Engine:
 
     def ingest(self, folder: str, database: str = DEFAULT_DATABASE, **options: object) -> dict[str, int]:
         """All files under a folder; those that can't be read are skipped."""
-        docs = read_documents(self.spark, folder, providers=self.p).where("error is null").select(source_label(F.col("path")).alias("source"), "text", "kind")
+        docs = read_documents(self.spark, folder, providers=self.p).where("error is null").select(source_label(F.col("path")).alias("source"), "text", "kind", "metadata")
         return self.ingest_table(docs, database, **options)
 
+    def watch(self, folder: str, database: str = DEFAULT_DATABASE, every: float = 0) -> int:
+        """New and changed files under a folder; with `every`, again after so many seconds until the process ends. Returns how many were read in all."""
+        from time import sleep
+
+        def take(docs: DataFrame, _: int) -> None:
+            self.ingest_table(docs.where("error is null").select(source_label(F.col("path")).alias("source"), "text", "kind", "metadata"), database)
+
+        total = scan_folder(self.spark, folder, self.store, take, self.p)
+        while every > 0:
+            sleep(every)
+            total += scan_folder(self.spark, folder, self.store, take, self.p)
+        return total
+
     def ingest_text(self, source: str, text: str, database: str = DEFAULT_DATABASE, **options: object) -> dict[str, int]:
         return self.ingest_table(self.spark.createDataFrame([(source, text, "text")], "source string, text string, kind string"), database, **options)
 
-    def ingest_table(self, docs: DataFrame, database: str = DEFAULT_DATABASE, strategy: str = "token", tags: list[str] | None = None, check_duplicates: bool = True, defer_graph: bool = False, threshold: float = CONFIG.duplicate_threshold) -> dict[str, int]:
-        """Cut, filter, embed, compare with what is stored, store, seed edges, log. docs: source, text, kind.
+    def ingest_table(self, docs: DataFrame, database: str = DEFAULT_DATABASE, strategy: str = "token", tags: list[str] | str | None = None, check_duplicates: bool = True, defer_graph: bool = False, threshold: float = CONFIG.duplicate_threshold) -> dict[str, int]:
+        """Cut, filter, embed, compare with what is stored, store, seed edges, log. docs: source, text, kind, and metadata if there is any.
 
-        Duplicates among the new chunks themselves are kept, as the search comes before the store.
+        Tags are a list or a text with commas. Duplicates among the new chunks themselves are kept, as the search comes before the store.
         """
-        cut = chunk_table(docs, "source", "text", strategy, "kind")
+        tags = [x for t in tags.split(",") if (x := t.strip())] if isinstance(tags, str) else tags
+        cut = chunk_table(docs, "source", "text", strategy, "kind", "metadata" if "metadata" in docs.columns else None)
         good = cut.where(~is_citation_chunk(F.col("text")) & ~is_glossary_chunk(F.col("text")))
         keyed = good.select(I.chunk_key(F.col("source"), F.col("index"), F.col("text")).alias("id"), "source", "index", "text", "metadata")
         new = durable(embed_column(keyed, "text", "v", self.p.embed).withColumn("database_id", F.lit(database)))
@@ -171,10 +205,7 @@ class Engine:
         vec = queries.select(F.sha2(F.coalesce("question", F.lit("")), 256).alias("h"), F.to_json("v").alias("query_embedding")).dropDuplicates(["h"])
         events = events.join(vec, F.col("query_hash") == F.col("h"), "left").drop("h")
         self._append("co_access_events", events)
-        times = results.groupBy("id").agg(F.count("*").alias("n")).withColumnRenamed("id", "k")
-        c = self.table("chunks").join(times, F.col("chunk_id") == F.col("k"), "left")
-        hit = F.col("n").isNotNull()
-        self.store.write("chunks", c.withColumns({"access_count": (F.coalesce("access_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int"), "last_accessed": F.when(hit, self._now()).otherwise(F.col("last_accessed"))}).drop("k", "n"))
+        self._append("access_log", results.groupBy(F.col("id").alias("chunk_id")).agg(F.count("*").alias("n")).withColumn("at", self._now()))
 
     def retrieve_by_vector(self, vectors: DataFrame, k: int = 10) -> DataFrame:
         """Nearest chunks of query vectors (q, v, database_id)."""
@@ -242,14 +273,16 @@ class Engine:
         taken = edges.select("source_chunk", "target_chunk", "relationship")
         new = durable(new.where("relationship <> 'related_to'").join(taken, ["source_chunk", "target_chunk", "relationship"], "left_anti").unionByName(new.where("relationship = 'related_to'")).select(*edges.columns))
         self.store.write("connections", edges.join(new.select("edge_id"), "edge_id", "left_anti").unionByName(new))
-        chunks = self.table("chunks").withColumn("node", F.col("chunk_id"))
-        self.store.write("chunks", O.flagged(chunks, self.table("connections")).drop("node"))
+        if not new.where("relationship = 'contradicts'").isEmpty():
+            chunks = self.store.read("chunks").withColumn("node", F.col("chunk_id"))
+            self.store.write("chunks", O.flagged(chunks, self.table("connections")).drop("node"))
 
     def tick(self, since_ms: int = 0, hebbian: bool = True) -> None:
         """Reinforce, decay and strengthen edges once."""
         events = self.table("co_access_events").where(F.col("timestamp") > since_ms)
         nodes = self.table("chunks").select(F.col("chunk_id").alias("node"), "access_count")
-        self.store.write("connections", consolidation_tick(self.table("connections"), nodes, events, self.clock(), hebbian))
+        vectors = self.store.read("chunks").where("v is not null").select(F.col("chunk_id").alias("id"), "v", "database_id")
+        self.store.write("connections", consolidation_tick(self.table("connections"), nodes, events, self.clock(), hebbian, vectors))
 
     def cluster(self, database: str = DEFAULT_DATABASE, least: float = CONFIG.leader_cosine) -> int:
         """Replace a database's concepts by leader clusters of its chunks."""
@@ -264,9 +297,28 @@ class Engine:
         comp = strong_components(edges)
         rows = comp.join(self.table("chunks").select(F.col("chunk_id").alias("id"), "text", "v"), "id").where("text is not null")
         enough = rows.groupBy("component").count().where(F.col("count") >= CONFIG.cluster_min_size).select("component")
-        return self._store_concepts(rows.join(enough, "component").select(F.col("component").alias("k"), "id", "text", "v"), database, replace=False)
-
-    def _store_concepts(self, rows: DataFrame, database: str, replace: bool) -> int:
+        loose = splittable(edges).select(F.col("component").alias("k"))
+        made = self._store_concepts(rows.join(enough, "component").select(F.col("component").alias("k"), "id", "text", "v"), database, replace=False, splits=loose)
+        self.merge_concepts(database)
+        return made
+
+    def merge_concepts(self, database: str = DEFAULT_DATABASE) -> int:
+        """Fold concepts of a database that overlap and are alike; what takes others gets a summary of its members anew. Returns how many went."""
+        every = self.table("concepts")
+        mine = every.where(F.col("database_id") == database)
+        into = durable(O.merge_pairs(P.alike(mine.where("v is not null")).select("a", "b")))
+        n = into.count()
+        if n:
+            out = O.merged(mine, into, self._now())
+            taken = out.join(into.select(F.col("into").alias("concept_id")).distinct(), "concept_id", "left_semi").select(F.col("concept_id").alias("k"), F.explode("members").alias("id"))
+            named = self._named(taken.join(self.store.read("chunks").select(F.col("chunk_id").alias("id"), "text"), "id"))
+            fresh = out.join(named.withColumnsRenamed({"k": "concept_id", "label": "new_label", "summary": "new_summary"}), "concept_id", "left")
+            fresh = fresh.withColumns({"label": F.coalesce("new_label", "label"), "summary": F.coalesce("new_summary", "summary")}).select(*every.columns)
+            self.store.write("concepts", every.where(F.coalesce("database_id", F.lit("")) != database).unionByName(durable(fresh)))
+        return n
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """(k, label, summary) of clusters (k, id, text)."""
         summarise, label_of = self.p.summarise, self.p.label
 
         def make(part: pd.DataFrame) -> pd.DataFrame:
@@ -278,7 +330,33 @@ class Engine:
         from pyspark.sql.window import Window
 
         few = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where("n <= 10").select("k", "id", "text")
-        named = few.groupBy("k").applyInPandas(make, "k string, label string, summary string")
+        return few.groupBy("k").applyInPandas(make, "k string, label string, summary string")
+
+    def _validated(self, fresh: DataFrame) -> DataFrame:
+        """(k, score): how well each cluster (k, summary, members, v) holds together, by a model if there is one, else by its vectors."""
+        chunks = self.store.read("chunks").where("v is not null").select(F.col("chunk_id").alias("id"), "v", "text")
+        clusters = fresh.withColumnRenamed("k", "cluster")
+        if not self.p.validate:
+            return P.validation(clusters.select("cluster", "members", "v"), chunks, "id").withColumnRenamed("cluster", "k")
+        model = self.p.validate
+        sides = P.non_members(clusters.select("cluster", "members"), chunks, "id").join(clusters, "cluster")
+        flat = sides.select("cluster", "summary", F.explode(F.slice("members", 1, 3)).alias("id"), F.lit(True).alias("inside")).unionByName(sides.select("cluster", "summary", F.explode("others").alias("id"), F.lit(False).alias("inside")))
+        texts = flat.join(chunks.select("id", "text"), "id").groupBy("cluster").agg(F.first("summary").alias("s"), F.collect_list(F.when(F.col("inside"), F.col("text"))).alias("a"), F.collect_list(F.when(~F.col("inside"), F.col("text"))).alias("b"))
+
+        def one(s: str, a: list[str], b: list[str]) -> float:
+            try:
+                return min(1.0, max(0.0, float(model(s, list(a), list(b)))))
+            except Exception:
+                return 0.5
+
+        @F.pandas_udf("double")
+        def score(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([one(*x) for x in zip(s, a, b, strict=True)])
+
+        return texts.select(F.col("cluster").alias("k"), score("s", "a", "b").alias("score"))
+
+    def _store_concepts(self, rows: DataFrame, database: str, replace: bool, splits: DataFrame | None = None) -> int:
+        named = self._named(rows)
         members = rows.groupBy("k").agg(F.array_sort(F.collect_set("id")).alias("members"))
         mean = centroids(rows.select("k", "v").where("v is not null"))
         fresh = members.join(named, "k").join(mean, "k", "left").select("k", "label", "summary", "members", "v")
@@ -293,14 +371,19 @@ class Engine:
             self.store.write("concepts", others.unionByName(made))
             return made.count()
         fresh = durable(fresh)
+        scored = durable(self._validated(fresh))
+        fresh = fresh.join(scored, "k", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
         # matches are greedy in the order of clusters, over the overlaps only
         found = O.matched_once(O.overlaps(fresh.select(F.col("k").alias("cluster"), "members"), mine.select("concept_id", "members")))
         match = found.select(F.col("cluster").alias("k"), F.col("concept_id").alias("old_id"), "jaccard")
         joined = fresh.join(match, "k", "left").where("jaccard is null or jaccard < 1")
         before = mine.select(F.col("concept_id").alias("old_id"), F.col("version").alias("old_version"), F.col("created_at").alias("old_created"), F.col("embedding_version").alias("old_embedding"))
         joined = joined.join(before, "old_id", "left")
+        if splits is not None:
+            # a cluster that doesn't hold together waits until its parts are clusters of their own
+            joined = joined.join(splits.withColumn("loose", F.lit(True)), "k", "left").where(f"score >= {CONFIG.validation_least} or loose is null")
         renewed = {
-            "concept_id": F.coalesce("old_id", new_id), **base, "created_at": F.coalesce("old_created", self._now()),
+            "concept_id": F.coalesce("old_id", new_id), **base, "created_at": F.coalesce("old_created", self._now()), "confidence": F.col("score"),
             "version": F.coalesce(F.col("old_version") + 1, F.lit(1)), "embedding_version": F.coalesce("old_embedding", F.lit(1)),
         }
         made = durable(joined.withColumns(renewed).select(*cols))
@@ -348,6 +431,95 @@ class Engine:
         self.store.write("associative_memory", state)
         return model.trained_on
 
+    def run_due(self, database: str = DEFAULT_DATABASE, batch: int | None = None) -> list[str]:
+        """One turn of the worker: what is always done, and what is due by the clock, in its fixed order. Returns the names of what ran."""
+        cadence, now = Cadence(self.store), self.clock()
+        ran = ["classify", "tick"]
+        self.classify(batch)
+        hebbian = cadence.due("hebbian", now)
+        since = cadence.last("hebbian")
+        self.tick(int(since.timestamp() * 1000) if since else 0, hebbian)
+        if hebbian:
+            cadence.ran("hebbian", now)
+            ran.append("hebbian")
+        if cadence.due("cluster", now) or self.table("concepts").where(F.col("database_id") == database).isEmpty():
+            self.cluster(database)
+            cadence.ran("cluster", now)
+            ran.append("cluster")
+        if cadence.due("train", now):
+            since = cadence.last("train")
+            self.train(database, int(since.timestamp() * 1000) if since else 0)
+            cadence.ran("train", now)
+            ran.append("train")
+        self.abstract(database)
+        self.sync_concepts()
+        return [*ran, "abstract", "sync"]
+
+    # ---- images, overviews, benchmark
+
+    def ingest_images(self, folder: str, database: str = DEFAULT_DATABASE) -> int:
+        """Vectors of the images under a folder; those that can't be embedded are left out. Returns how many were stored."""
+        embed = self.p.embed_image
+        if embed is None:
+            raise ValueError("no model for images is given")
+
+        def one(path: str) -> list[float] | None:
+            try:
+                return [float(x) for x in embed(path)] or None
+            except Exception:
+                return None
+
+        @F.pandas_udf("array<double>")
+        def vector(paths: pd.Series) -> pd.Series:
+            return paths.map(one)
+
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").where(kind_of(F.col("path")) == "image")
+        known = self.table("image_vectors").where(F.col("database_id") == database).select("path")
+        rows = files.join(known, "path", "left_anti").select("path", vector("path").alias("v"), F.lit(database).alias("database_id"))
+        return self._append("image_vectors", rows.where("v is not null"))
+
+    def nearest_images(self, vectors: DataFrame, k: int = 10) -> DataFrame:
+        """(q, id, sim, rank): the nearest images of query vectors (q, v, database_id)."""
+        return knn(vectors, self.table("image_vectors").select(F.col("path").alias("id"), "v", "database_id"), k, "database_id")
+
+    def audio_overview(self, question: str, database: str = DEFAULT_DATABASE, form: str = "dialogue") -> dict:
+        """A spoken overview of what is stored about a question: script, segments, seconds, and sound if there is a voice.
+
+        Eight results over two hops, the five best as evidence; without results it is an error.
+        """
+        best = self.retrieve([question], database, 8, 2, log=False).orderBy("rank").limit(CONFIG.max_evidence).collect()
+        if not best:
+            raise LookupError(f"nothing is stored about {question!r}")
+        evidence = "\n\n".join(f"---- Source: {r['source']}\n{r['text'].strip()}" for r in best)
+        script = self.p.script(question, evidence, form)
+        row = self.spark.createDataFrame([(script,)], "t string").select(script_segments(F.col("t"), form).alias("s")).select("s", script_seconds(F.col("s")).alias("n")).first()
+        parts = [(x["speaker"], x["text"]) for x in row["s"]]
+        return {"script": script, "segments": parts, "seconds": row["n"], "sources": list(dict.fromkeys(r["source"] for r in best)), "sound": b"".join(self.p.speak(*p) for p in parts) if self.p.speak else None}
+
+    def benchmark(self, database: str = DEFAULT_DATABASE, top: int = 5, keep: int = 10) -> DataFrame:
+        """(query, ms, n, top_score, mean_score, overlap): the fixed queries, with how much of each result the run before had. The last `keep` runs are kept."""
+        from time import perf_counter
+
+        rows, chunks, edges = [], self.store.read("chunks").count(), self.table("connections").count()
+        for q in BENCHMARK_QUERIES:
+            began = perf_counter()
+            got = self.retrieve([q], database, top, log=False).orderBy("rank").collect()
+            rows.append((self.clock(), chunks, edges, q, [r["id"] for r in got], [float(r["score"]) for r in got], (perf_counter() - began) * 1000))
+        at = rows[0][0]
+        fresh = durable(self.spark.createDataFrame([(at, *r[1:]) for r in rows], _SCHEMAS["benchmark_runs"]))
+        history = self.table("benchmark_runs")
+        before = history.agg(F.max("run_at")).first()[0]
+        old = history.where(F.col("run_at") == before).select("query", F.col("ids").alias("old"))
+        recent = history.select("run_at").distinct().orderBy(F.desc("run_at")).limit(keep - 1)
+        self.store.write("benchmark_runs", durable(history.join(recent, "run_at", "left_semi")).unionByName(fresh))
+        same = F.size(F.array_intersect("ids", "old")) / F.greatest(F.size("ids"), F.size("old"), F.lit(1))
+        mean = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("scores"), F.lit(1))
+        return fresh.join(old, "query", "left").select("query", "ms", F.size("ids").alias("n"), F.array_max("scores").alias("top_score"), mean.alias("mean_score"), F.when(F.col("old").isNotNull(), same).alias("overlap"))
+
+    def stats(self) -> DataFrame:
+        """Chunks, connections and concepts of each database."""
+        return stats_counts(self.store.read("chunks"), self.table("connections"), self.table("concepts"))
+
     def consolidate(self, database: str = DEFAULT_DATABASE) -> dict[str, int]:
         """Everything once: type all edges, reinforce, decay and strengthen, cluster if there are no concepts, train, abstract, sync."""
         self.classify()

@@ -5,6 +5,7 @@ Pure functions from a text to its pieces; `chunk_table` runs them over a DataFra
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -224,24 +225,30 @@ def segmented_chunks(text: str, segmenter: Callable[[str], object] | None = None
     return dedupe_by_prefix(out)
 
 
-def chunks_of(text: str | None, strategy: str = "token", kind: str = "text", **options: object) -> list[tuple[str, dict[str, str]]]:
-    """(text, metadata) of a document's chunks. Audio is cut by time; of the strategies `llm`, `fast` and token (all other names) only `fast` carries metadata. Null and blank texts have none."""
+def chunks_of(text: str | None, strategy: str = "token", kind: str = "text", metadata: dict[str, str] | None = None, **options: object) -> list[tuple[str, dict[str, str]]]:
+    """(text, metadata) of a document's chunks. Null and blank texts have none.
+
+    Audio is cut by time, and its chunks carry the document's metadata and their times. Of the strategies `llm`, `fast` and token (all
+    other names) only `fast` carries the document's metadata.
+    """
     if not text or not text.strip():
         return []
+    own = dict(metadata or {})
     if kind == "audio":
-        return [(t, {"timestamp_start": str(a), "timestamp_end": str(b)}) for t, a, b in audio_chunks(text)]
+        return [(t, own | {"timestamp_start": str(a), "timestamp_end": str(b)}) for t, a, b in audio_chunks(text)]
     make = {"llm": segmented_chunks, "fast": semantic_chunks}.get(strategy, token_chunks)
-    return [(t, {}) for t in make(text, **options)]
+    return [(t, dict(own) if strategy == "fast" else {}) for t in make(text, **options)]
 
 
-def chunk_table(df: DataFrame, key: str, text: str, strategy: str = "token", kind: str | None = None) -> DataFrame:
-    """(key, index, text, metadata): the chunks of each row, numbered from 0. `kind` names a column with the kind of document."""
+def chunk_table(df: DataFrame, key: str, text: str, strategy: str = "token", kind: str | None = None, metadata: str | None = None) -> DataFrame:
+    """(key, index, text, metadata): the chunks of each row, numbered from 0. `kind` names a column with the kind of document, `metadata` one with its map of metadata."""
     type_ = df.schema[key].dataType.simpleString()
-    source = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(kind) if kind else F.lit("text")).alias("kind")).where("t is not null")
+    carried = F.to_json(F.col(metadata)) if metadata else F.lit(None).cast("string")
+    source = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(kind) if kind else F.lit("text")).alias("kind"), carried.alias("m")).where("t is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(k, i, c, m) for k, t, x in zip(part["k"], part["t"], part["kind"], strict=True) for i, (c, m) in enumerate(chunks_of(t, strategy, x or "text"))]
+            rows = [(k, i, c, m) for k, t, x, own in zip(part["k"], part["t"], part["kind"], part["m"], strict=True) for i, (c, m) in enumerate(chunks_of(t, strategy, x or "text", json.loads(own) if own else None))]
             yield pd.DataFrame(rows, columns=["k", "index", "text", "metadata"])
 
     return source.mapInPandas(run, f"k {type_}, index int, text string, metadata map<string,string>").withColumnRenamed("k", key)

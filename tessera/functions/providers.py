@@ -66,6 +66,13 @@ def extractive_answer(question: str | None, context: str | None) -> str:
     return max(found, key=lambda s: overlap_score(question, s), default="")
 
 
+def spoken_evidence(question: str, evidence: str, form: str) -> str:
+    """A script without a model: the evidence's sentences, spoken in turn by the voices of the form."""
+    said = [s for s in sentences(evidence) if not s.startswith(("----", "==="))]
+    voices = {"dialogue": ("ALEX", "SAM"), "interview": ("HOST", "EXPERT")}.get(form)
+    return " ".join(said) if voices is None else "\n".join(f"{voices[i % 2]}: {s}" for i, s in enumerate([question, *said]))
+
+
 @dataclass(frozen=True)
 class Providers:
     """All model calls; replace any with a real model."""
@@ -81,6 +88,16 @@ class Providers:
     transcribe: Callable[[str], list[dict]] | None = None
     describe: Callable[[str], str] | None = None
     ocr: Callable[[str], str] | None = None
+    #: (path of a video, seconds between frames) to (second, path of the frame).
+    frames: Callable[[str, int], list[tuple[float, str]]] | None = None
+    #: Path of an image to its vector; an error or no vector leaves the image out.
+    embed_image: Callable[[str], list[float]] | None = None
+    #: (summary, texts inside, texts outside) to how well the summary fits, from 0 to 1.
+    validate: Callable[[str, list[str], list[str]], float] | None = None
+    #: (question, evidence, form) to a script; the default reads the evidence out.
+    script: Callable[[str, str, str], str] = spoken_evidence
+    #: (speaker, text) to sound.
+    speak: Callable[[str, str], bytes] | None = None
 
 
 def embed_column(df: DataFrame, text: str, out: str = "v", provider: Callable[[str | None], list[float]] = hashed_embedding) -> DataFrame:

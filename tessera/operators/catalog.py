@@ -77,6 +77,12 @@ class Snapshots:
     def version(self, name: str) -> int:
         return max((n for n, _ in self._parts(name)), default=0)
 
+    def additions(self, name: str) -> int:
+        """How many additions follow the last whole state."""
+        parts = self._parts(name)
+        whole = max((n for n, k in parts if k == "v"), default=0)
+        return sum(1 for n, k in parts if k == "d" and n > whole)
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         parts = [p for p in self._parts(name) if version is None or p[0] <= version]
         whole = max((n for n, k in parts if k == "v"), default=None)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.config import CONFIG, SUPPORTING
 from tessera.functions import weights as W
+from tessera.functions.vectors import cosine
 from tessera.operators.skew import hot_keys, lookup
 from tessera.plans.durable import durable
 
@@ -89,6 +90,13 @@ def hebbian_updates(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(one, ["a", "b"]).select("e.edge_id", W.hebbian(F.col("e.weight"), F.col("times")).alias("weight"), "times")
 
 
+def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, sim): the cosine of the vectors of pairs (a, b); a pair with an end without a vector has no row. vectors: id, v."""
+    v = vectors.select(F.col("id").alias("k"), "v").where("v is not null")
+    both = lookup(lookup(pairs, "a", v.withColumnRenamed("v", "va"), "k"), "b", v.withColumnRenamed("v", "vb"), "k")
+    return both.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim"))
+
+
 def hebbian_new(pairs: DataFrame, edges: DataFrame, similarity: DataFrame | None = None, least: float = CONFIG.hebbian_cosine) -> DataFrame:
     """(a, b, relationship, weight, times): edges of type co_accessed for pairs without any edge.
 
@@ -97,8 +105,8 @@ def hebbian_new(pairs: DataFrame, edges: DataFrame, similarity: DataFrame | None
     known = edges.select(F.least("source_chunk", "target_chunk").alias("a"), F.greatest("source_chunk", "target_chunk").alias("b")).distinct()
     new = pairs.join(known, ["a", "b"], "left_anti")
     if similarity is not None:
-        new = new.join(similarity.where(F.col("sim") > least).select("a", "b"), ["a", "b"], "left_semi")
-    return new.select("a", "b", F.lit("co_accessed").alias("relationship"), W.hebbian_new(F.col("times")).alias("weight"), "times")
+        new = new.join(similarity.where(F.col("sim") > least).select("a", "b", "sim"), ["a", "b"])
+    return new.select("a", "b", F.lit("co_accessed").alias("relationship"), W.hebbian_new(F.col("times")).alias("weight"), "times", *(["sim"] if similarity is not None else []))
 
 
 def access_bump(chunks: DataFrame, events: DataFrame) -> DataFrame:

@@ -73,10 +73,25 @@ def plain_pdf_text(data: bytes) -> str:
     return "\n".join(re.sub(r"\\([()\\])", r"\1", s[1 : s.rindex(b")")].decode("latin-1")) for s in shown)
 
 
-def read_documents(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] = plain_pdf_text, providers: Providers | None = None) -> DataFrame:
-    """(path, kind, text, metadata, error): all files under a folder. A file of unknown kind, or one that can't be read, has an error and no text."""
+def merged_lines(lines: list[tuple[float, str]], frames: list[tuple[float, str]]) -> list[str]:
+    """Lines of speech (second, text) with each frame's description before the first line at its time or after; frames after the last line go."""
+    out, rest = [], sorted(frames)
+    for at, line in lines:
+        while rest and rest[0][0] <= at:
+            s, said = rest.pop(0)
+            out.append(f"\n[VISUAL at {int(s) // 60}:{int(s) % 60:02d}] {said}\n")
+        out.append(line)
+    return out
+
+
+def _spoken(segments: list[dict]) -> list[tuple[float, str]]:
+    return [(float(s["start"]), f"[{int(s['start']) // 60}:{int(s['start']) % 60:02d}] {s['text'].strip()}") for s in segments]
+
+
+def documents_of(files: DataFrame, pdf: Callable[[bytes], str] = plain_pdf_text, providers: Providers | None = None, frame_seconds: int = 30) -> DataFrame:
+    """(path, kind, text, metadata, error) of `files` (path, content). A file of unknown kind, or one that can't be read, has an error and no text."""
     p = providers or Providers()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(~F.col("path").rlike(_SKIPPED)).select("path", kind_of(F.col("path")).alias("kind"), "content")
+    files = files.select("path", kind_of(F.col("path")).alias("kind"), "content")
 
     def read(kind: str | None, path: str, data: bytes) -> tuple[str | None, dict, str | None]:
         meta = {"type": kind or "", "source": path}
@@ -91,8 +106,11 @@ def read_documents(spark: SparkSession, folder: str, pdf: Callable[[bytes], str]
                 return pdf(data), meta, None
             if kind == "audio" and p.transcribe:
                 seg = p.transcribe(path)
-                lines = [f"[{int(s['start']) // 60}:{int(s['start']) % 60:02d}] {s['text'].strip()}" for s in seg]
-                return "\n".join(lines), meta | {"duration": str(seg[-1]["end"] if seg else 0)}, None
+                return "\n".join(x for _, x in _spoken(seg)), meta | {"duration": str(seg[-1]["end"] if seg else 0)}, None
+            if kind == "video" and p.transcribe:
+                seg = p.transcribe(path)
+                seen = [(s, p.describe(f)) for s, f in p.frames(path, frame_seconds)] if p.frames and p.describe else []
+                return "\n".join(merged_lines(_spoken(seg), seen)), meta | {"duration": str(seg[-1]["end"] if seg else 0), "frames": str(len(seen))}, None
             if kind == "image" and (p.describe or p.ocr):
                 said, seen = p.describe(path) if p.describe else "", "\n".join(x.strip() for x in (p.ocr(path) if p.ocr else "").split("\n") if x.strip())
                 return (f"{said}\n\nExtracted text:\n{seen}" if said and seen else said or seen), meta, None
@@ -111,6 +129,12 @@ def read_documents(spark: SparkSession, folder: str, pdf: Callable[[bytes], str]
     return out.select("path", "kind", F.coalesce("clean", "text").alias("text"), "metadata", "error")
 
 
+def read_documents(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] = plain_pdf_text, providers: Providers | None = None) -> DataFrame:
+    """(path, kind, text, metadata, error): all files under a folder, but those in hidden places."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(~F.col("path").rlike(_SKIPPED))
+    return documents_of(files, pdf, providers)
+
+
 def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, text) of fetched pages; fetching itself is left to whatever lands them."""
 
