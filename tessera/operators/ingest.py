@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import CONFIG
-from tessera.operators.knn import knn
+from tessera.operators.knn import knn, nearest_stored
 
 
 def seed_edges(found: DataFrame) -> DataFrame:
@@ -38,17 +38,17 @@ def ingest_batch(batch: DataFrame, stored: DataFrame, check_duplicates: bool = T
     queries = batch.select(F.col("id").alias("q"), "v", "database_id")
     kept = batch
     if check_duplicates:
-        hits = knn(queries, stored, 1, "database_id", threshold)
+        hits = nearest_stored(queries, stored, 1, "database_id", threshold)
         kept = batch.join(hits.select(F.col("q").alias("id")), "id", "left_anti")
     if defer:
         return kept, seed_edges(knn(queries.where("false"), stored, fan_out))
-    found = knn(kept.select(F.col("id").alias("q"), "v", "database_id"), stored, fan_out, "database_id")
+    found = nearest_stored(kept.select(F.col("id").alias("q"), "v", "database_id"), stored, fan_out, "database_id")
     return kept, seed_edges(found)
 
 
 def deferred_edges(batch: DataFrame, stored: DataFrame, fan_out: int = CONFIG.seed_fan_out) -> DataFrame:
     """Seed edges searched after all is stored: a row meets itself first, which leaves one edge less."""
-    return seed_edges(knn(batch.select(F.col("id").alias("q"), "v", "database_id"), stored, fan_out, "database_id"))
+    return seed_edges(nearest_stored(batch.select(F.col("id").alias("q"), "v", "database_id"), stored, fan_out, "database_id"))
 
 
 def event_of(counts: DataFrame, as_of: Column) -> DataFrame:

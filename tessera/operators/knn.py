@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,9 +30,21 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    """The order of ids as numbers, to decide ties."""
-    return np.unique(ids.ravel().tolist(), return_inverse=True)[1].reshape(ids.shape)
+def _best(top_sim: np.ndarray, top_id: np.ndarray, sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of what is held and what is new, ties by id; ids are only looked at for what stays and for ties at the end."""
+    width = top_sim.shape[1]
+    both = np.concatenate([top_sim, sim], axis=1)
+    if both.shape[1] <= k:
+        return both, np.concatenate([top_id, np.broadcast_to(ids, sim.shape)], axis=1)
+    at = np.argpartition(-both, k - 1, axis=1)[:, :k]
+    cut = np.take_along_axis(both, at, 1).min(1)
+    for r in np.flatnonzero(np.isfinite(cut) & ((both >= cut[:, None]).sum(1) > k)):
+        able = np.flatnonzero(both[r] >= cut[r]).tolist()
+        at[r] = sorted(able, key=lambda c: (-both[r, c], top_id[r, c] if c < width else ids[c - width]))[:k]
+    if not width:
+        return np.take_along_axis(both, at, 1), ids[at]
+    held = np.take_along_axis(top_id, np.minimum(at, width - 1), 1)
+    return np.take_along_axis(both, at, 1), np.where(at < width, held, ids[np.maximum(at - width, 0)])
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
@@ -89,16 +102,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None, fl
                     if floor is not None:
                         dead = dead | (s < floor)
                     s = np.where(dead, -np.inf, s)
-                    all_sim = np.concatenate([top_sim, s], axis=1)
-                    all_id = np.concatenate([top_id, np.broadcast_to(ids, s.shape)], axis=1)
-                    if all_sim.shape[1] > k:
-                        # every row as good as the k-th stays until ids have decided
-                        cut = np.partition(all_sim, -k, axis=1)[:, -k]
-                        tied = (all_sim > cut[:, None]).sum(1)
-                        over = int(np.where(np.isfinite(cut), (all_sim >= cut[:, None]).sum(1), tied).max())
-                        order = np.lexsort((np.broadcast_to(_places(all_id), all_id.shape) if over > k else np.zeros(all_id.shape), -all_sim), axis=1)[:, :k]
-                        all_sim, all_id = np.take_along_axis(all_sim, order, 1), np.take_along_axis(all_id, order, 1)
-                    top_sim, top_id = all_sim, all_id
+                    top_sim, top_id = _best(top_sim, top_id, s, ids, k)
                 qi, ci = np.nonzero(np.isfinite(top_sim))
                 if len(qi):
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in qi], q_type), pa.array(list(top_id[qi, ci]), id_type), pa.array(top_sim[qi, ci])], names=["q", "id", "sim"])
@@ -133,6 +137,8 @@ class CellIndex:
     def fit(cls, rows: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> CellIndex:
         """k-means on at most `sample` rows, taken by hash of the id so that every run gets the same."""
         v = np.array([r[0] for r in rows.where("v is not null and size(v) > 0").orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select("v").collect()], dtype=np.float64)
+        if not len(v):
+            return cls(np.zeros((1, 1)))
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
         centres = v[rng.choice(len(v), min(cells, len(v)), replace=False)]
@@ -144,18 +150,58 @@ class CellIndex:
                     centres[c] = m / max(np.linalg.norm(m), 1e-12)
         return cls(centres)
 
-    def assign(self, rows: DataFrame) -> DataFrame:
-        """`rows` (id, v) with each row's cell."""
+    def assign(self, rows: DataFrame, same: str | None = None, probes: int = 1) -> DataFrame:
+        """`rows` (id, v, and `same` if given) with each row's cell; with several probes a row comes out once for each of its nearest cells."""
         centres = rows.sparkSession.sparkContext.broadcast(self.centres)
         kind = rows.schema["id"].dataType.simpleString()
+        n = min(probes, len(self.centres))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    cell = np.argmax(_matrix(b.column(1)) @ centres.value.T, axis=1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float64())), pa.array(cell)], names=["id", "v", "cell"])
+                    near = _matrix(b.column(1)) @ centres.value.T
+                    cell = np.argmax(near, axis=1)[:, None] if n == 1 else np.argpartition(-near, n - 1, axis=1)[:, :n]
+                    at = pa.array(np.repeat(np.arange(b.num_rows), n))
+                    cols = [b.column(0).take(at), b.column(1).cast(pa.list_(pa.float64())).take(at), *([b.column(2).take(at)] if same else []), pa.array(cell.ravel().astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["id", "v", *([same] if same else []), "cell"])
 
-        return rows.select("id", "v").where("v is not null and size(v) > 0").mapInArrow(run, f"id {kind}, v array<double>, cell int")
+        tag = f", {same} {rows.schema[same].dataType.simpleString()}" if same else ""
+        return rows.select("id", "v", *([same] if same else [])).where("v is not null and size(v) > 0").mapInArrow(run, f"id {kind}, v array<double>{tag}, cell int")
+
+    def join(self, queries: DataFrame, assigned: DataFrame, k: int, probes: int, same: str | None = None, floor: float | None = None, rows_in: int = 20_000, queries_in: int = QUERIES_PER_BLOCK) -> DataFrame:
+        """(q, id, sim, rank): for any number of queries (q, v, and `same` if given) the k nearest rows of the cells they look into.
+
+        Cells are join keys on both sides and nothing passes through the driver but the cells' sizes. A cell
+        with many rows or queries is dealt to parts of bounded size, each of which meets each part of the other side.
+        """
+        asked = self.assign(queries.withColumnRenamed("q", "id"), same, probes).withColumnRenamed("id", "q")
+        sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).unionByName(asked.groupBy("cell").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("m")))
+        parts = [(r["cell"], -(-r["n"] // rows_in), -(-r["m"] // queries_in)) for r in sizes.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 0 and m > 0").collect()]
+        deal = F.broadcast(queries.sparkSession.createDataFrame(parts, "cell int, rn int, qn int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        r = assigned.join(deal, "cell").withColumn("rp", F.pmod(F.xxhash64("id"), F.col("rn")).cast("int")).withColumn("qp", each("qn")).drop("rn", "qn")
+        q = asked.join(deal, "cell").withColumn("qp", F.pmod(F.xxhash64("q"), F.col("qn")).cast("int")).withColumn("rp", each("rn")).drop("rn", "qn")
+        q_kind, id_kind = queries.schema["q"].dataType.simpleString(), assigned.schema["id"].dataType.simpleString()
+
+        def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"q": [], "id": [], "sim": []})
+            ma, mb = (np.stack(x["v"].to_list()).astype(np.float64) for x in (a, b))
+            na, nb = (np.linalg.norm(m, axis=1) for m in (ma, mb))
+            s = (ma / np.where(na > 0, na, 1)[:, None]) @ (mb / np.where(nb > 0, nb, 1)[:, None]).T
+            dead = (na == 0)[:, None] | (nb == 0)[None, :]
+            if same:
+                dead |= a[same].to_numpy(dtype=object)[:, None] != b[same].to_numpy(dtype=object)[None, :]
+            if floor is not None:
+                dead |= s < floor
+            s = np.where(dead, -np.inf, s)
+            sim, ids = _best(np.zeros((len(a), 0)), np.empty((len(a), 0), dtype=object), s, b["id"].to_numpy(dtype=object), k)
+            i, j = np.nonzero(np.isfinite(sim))
+            return pd.DataFrame({"q": a["q"].to_numpy(dtype=object)[i], "id": ids[i, j], "sim": sim[i, j]})
+
+        found = q.groupBy("cell", "rp", "qp").cogroup(r.groupBy("cell", "rp", "qp")).applyInPandas(block, f"q {q_kind}, id {id_kind}, sim double")
+        w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     def search(self, queries: DataFrame, assigned: DataFrame, k: int, probes: int = 16, block: int = QUERIES_PER_BLOCK) -> DataFrame:
         """(q, id, sim, rank) among the rows in the cells that each query looks into."""
@@ -199,3 +245,20 @@ class CellIndex:
             found = found.unionByName(p)
         w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Rows in a cell, most cells, and the share of cells a row looks into when stored rows are searched for many new ones.
+ROWS_PER_CELL, MOST_CELLS, LOOK = 500, 1024, 8
+
+
+def nearest_stored(new: DataFrame, stored: DataFrame, k: int, same: str | None = None, floor: float | None = None, sample: int = 20_000) -> DataFrame:
+    """(q, id, sim, rank): the k nearest stored rows (id, v) of any number of new ones (q, v), by an index made for the search.
+
+    Each new row looks into an eighth of the cells, at least eight of them, so up to 4,000 stored rows the
+    result is exact. Vectors must be of one length.
+    """
+    cells = max(1, min(MOST_CELLS, stored.count() // ROWS_PER_CELL))
+    index = CellIndex.fit(stored, cells, sample)
+    if index.centres.shape == (1, 1):
+        return new.sparkSession.createDataFrame([], f"q {new.schema['q'].dataType.simpleString()}, id {stored.schema['id'].dataType.simpleString()}, sim double, rank int")
+    return index.join(new, index.assign(stored, same), k, max(8, cells // LOOK), same, floor)

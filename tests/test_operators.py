@@ -313,3 +313,33 @@ def test_names_are_unique():
     with pytest.raises(ValueError, match="two queries"):
         query("top_sources")(lambda s, d: None)
         query("top_sources")(lambda s, d: None)
+
+
+def test_stored_rows_are_found_by_cells(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 16))
+    v[-50:] = v[0]  # one cell with many rows
+    stored = spark.createDataFrame([(i, x.tolist(), "d" if i % 7 else "e") for i, x in enumerate(v)], "id int, v array<double>, database_id string")
+    q = v[:200] + 0.01 * rng.normal(size=(200, 16))
+    new = spark.createDataFrame([(i, x.tolist(), "d") for i, x in enumerate(q)] + [(900, None, "d"), (901, [0.0] * 16, "d")], "q int, v array<double>, database_id string")
+    exact = {(r.q, r.id) for r in K.knn(new, stored, 6, "database_id").collect()}
+    index = K.CellIndex.fit(stored, 64)
+    got = index.join(new, index.assign(stored, "database_id"), 6, 8, "database_id", rows_in=50, queries_in=20).collect()
+    assert len({(r.q, r.id) for r in got} & exact) >= 0.9 * len(exact) and max(r["rank"] for r in got) == 6 and len(got) == len({(r.q, r.id) for r in got})
+    few = stored.where("id < 3000")
+    assert {(r.q, r.id) for r in K.nearest_stored(new, few, 6, "database_id").collect()} == {(r.q, r.id) for r in K.knn(new, few, 6, "database_id").collect()}
+    assert K.nearest_stored(new, stored.where("false"), 6, "database_id").count() == 0 and K.nearest_stored(new.where("false"), few, 6, "database_id").count() == 0
+
+
+def test_recall_of_the_query_by_cells(spark):
+    import os
+
+    from tessera.plans import queries_retrieval as Q
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    got = {(r.q, r.id) for r in Q.ann_topk(spark, folder).collect()}
+    want = {(r.q, r.id) for r in K.knn(Q.G.queries(spark, folder), Q._rows(spark, folder), 10).collect()}
+    assert len(got & want) >= 0.9 * len(want)
