@@ -262,10 +262,13 @@ def _heads(part: pd.DataFrame, often_part: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def spanned(lines: list[list[str]], known: dict[int, str]) -> list[float]:
-    """The share of each line's tokens that the site's substrings cover."""
+def spanned(lines: list[list[str]], spans: np.ndarray) -> list[float]:
+    """The share of each line's tokens that the site's substrings (sorted hashes) cover."""
+    if not len(spans):
+        return [0.0] * len(lines)
     size = np.array([len(t) + 1 for t in lines], dtype=np.int64)
-    hit = np.array([known.get(h) == "span" for h in span_hashes(lines).tolist()], dtype=np.int64)
+    own = span_hashes(lines)
+    hit = (spans[np.minimum(np.searchsorted(spans, own), len(spans) - 1)] == own).astype(np.int64)
     edge = np.zeros(int(size.sum()) + 1, dtype=np.int64)
     edge[: len(hit)] += hit
     edge[SPAN : SPAN + len(hit)] -= hit
@@ -280,10 +283,10 @@ def names_site(tokens: list[str], site: frozenset[str]) -> bool:
     return len(site) > 1 and any(a == b == "\x01" for a, b in zip(tokens, tokens[1:]))  # noqa: B905
 
 
-def classify(text: str, site: frozenset[str], known: dict[int, str]) -> list[bool]:
+def classify(text: str, site: frozenset[str], known: dict[int, str], spans: np.ndarray) -> list[bool]:
     """For each line of a page, whether it lies outside the main body; blank lines are False.
 
-    known: the site text by hash: `span` for substrings, `line` and `strong` lines, `start` of labels and
+    spans: the site's substrings, sorted hashes. known: the site text by hash: `line` and `strong` lines, `start` of labels and
     sentences, `head` for starts of headings. A page without a sentence or item of
     its own has no main body.
     """
@@ -292,7 +295,7 @@ def classify(text: str, site: frozenset[str], known: dict[int, str]) -> list[boo
     out, body = [False] * n, [False] * n
     at = [i for i in range(n) if lines[i]]
     tokens = [tokens_of(lines[i], site) for i in at]
-    for i, t, share in zip(at, tokens, spanned(tokens, known), strict=True):
+    for i, t, share in zip(at, tokens, spanned(tokens, spans), strict=True):
         x = lines[i]
         label = _label(x)
         starts = [known.get(hash_of(t[:k])) for k in LABEL_STARTS if len(t) > k] if label else []
@@ -351,7 +354,7 @@ def site_text(pages: DataFrame) -> DataFrame:
     """(host, kind, h): the site text of each host of `pages` (the output of `sharded`)."""
     support = durable(pages.groupBy("host", "shard").applyInPandas(_profile, "host string, kind string, h long, pages long"))
     size = durable(pages.groupBy("host").agg(F.count("*").alias("n"), F.first("shards").alias("shards")).withColumnRenamed("host", "k"))
-    rows = durable(lookup(support.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages")), "host", size, "k"))
+    rows = durable(lookup(durable(support.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages"))), "host", size, "k"))
     # titles are looked for when the shards are added up: a line may be often on the host and rare in a shard
     often = rows.where(f"kind in ('line', 'short') and pages >= {LEAST_PAGES} and pages >= {LINE_SHARE} * n").select(F.col("host").alias("k"), F.lit("line").alias("kind"), "h").distinct()
     # substrings that are often in one of several shards are counted in all of them
@@ -359,7 +362,8 @@ def site_text(pages: DataFrame) -> DataFrame:
     often = often.unionByName(some)
     per_shard = pages.select(F.col("host").alias("k"), F.col("shard").alias("s")).distinct().join(often, "k")
     second = pages.groupBy("host", "shard").cogroup(per_shard.groupBy("k", "s")).applyInPandas(_heads, "host string, kind string, h long, pages long")
-    second = durable(lookup(second.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages")), "host", size, "k"))
+    # written first: what looks for hot keys would read the pages again
+    second = durable(lookup(durable(second.groupBy("host", "kind", "h").agg(F.sum("pages").alias("pages"))), "host", size, "k"))
     heads = second.where("kind = 'head'").select("host", "h", "pages", "n")
     span = rows.where("kind = 'span' and shards = 1").unionByName(second.where("kind = 'span'").select(*rows.columns))
     span = span.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LINE_SHARE * F.col("n"))).select("host", "kind", "h")
@@ -397,10 +401,12 @@ def outside(pages: DataFrame) -> DataFrame:
         if not len(part):
             return pd.DataFrame({"parsed_id": [], "line_no": [], "text": []})
         site = site_words(part["host"].iloc[0])
-        kinds = dict(zip(site_part["h"].tolist(), site_part["kind"].tolist(), strict=True))
+        is_span = (site_part["kind"] == "span").to_numpy()
+        spans = np.sort(site_part["h"].to_numpy()[is_span])
+        kinds = dict(zip(site_part["h"][~is_span].tolist(), site_part["kind"][~is_span].tolist(), strict=True))
         rows = []
         for key, text in zip(part["parsed_id"].tolist(), part["text"].tolist(), strict=True):
-            gone = classify(text, site, kinds)
+            gone = classify(text, site, kinds, spans)
             rows += [(key, i + 1, None) for i, g in enumerate(gone) if g]
             kept = [x for x, g in zip(lines_of(text), gone, strict=True) if not g]
             rows.append((key, 0, re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip() or None))
