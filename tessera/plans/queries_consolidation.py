@@ -98,6 +98,23 @@ def hebbian_new_edges(spark, d):
     return O.hebbian_new(coaccess_pairs(spark, d), V.edges(spark, d))
 
 
+_VEC = "cast(cast('0x'||substr({0},1,6) as bigint) % (select count(*) from vectors_v) as bigint)"
+
+
+@query("hebbian_gated", with_views("coaccess_v edges_v vectors_v", _PAIRS + f""", new as (select a, b, times from pairs p where not exists (select 1 from edges_v e where least(e.source_chunk,e.target_chunk)=p.a and greatest(e.source_chunk,e.target_chunk)=p.b)),
+ two as (select a, b, times, {_VEC.format("a")} as x, {_VEC.format("b")} as y from new where regexp_full_match(substr(a,1,6),'[0-9a-f]{{6}}') and regexp_full_match(substr(b,1,6),'[0-9a-f]{{6}}'))
+ select a, b, 'co_accessed' as relationship, greatest(0.05,least(1.0,1-0.95*pow(0.95,times-1))) as weight, times, list_cosine_similarity(x.v,y.v) as sim from two join vectors_v x on x.vec_id=two.x join vectors_v y on y.vec_id=two.y where list_cosine_similarity(x.v,y.v)>0.1"""), doubles="weight sim")
+def hebbian_gated(spark, d):
+    """New edges between chunks accessed together whose vectors are alike; these vectors are close to random, so the bound is low."""
+    from tessera.sources import graphs as G
+
+    v = V.vectors(spark, d)
+    pairs, edges = coaccess_pairs(spark, d), V.edges(spark, d)
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    of = ends.withColumn("vec_id", G._vector_of("id", v.count())).where("vec_id is not null").join(v.select("vec_id", "v"), "vec_id").select("id", "v")
+    return O.hebbian_new(pairs, edges, O.pair_similarity(O.hebbian_new(pairs, edges).select("a", "b"), of), 0.1)
+
+
 @query("access_bump", with_views("coaccess_v chunks_v", "select c.chunk_id, coalesce(c.access_count,0)+t.times as access_count, t.times from chunks_v c join (select id, count(*) as times from coaccess_v, unnest(ids) u(id) group by 1) t on t.id=lower(c.chunk_id)"))
 def access_bump(spark, d):
     return O.access_bump(_nodes(spark, d), V.co_access(spark, d))
@@ -139,12 +156,19 @@ def strong_edge_split(spark, d):
  from (select concept_id, members, unnest(members) as m from concepts_v) a join (select concept_id, members, unnest(members) as m from concepts_v) b on a.m=b.m and a.concept_id<>b.concept_id group by 1,2)) where n=1"""), doubles="jaccard")
 def jaccard_match(spark, d):
     """Each concept as a cluster against all other concepts."""
+    from pyspark.sql.window import Window
+
+    c = V.concepts(spark, d)
+    found = O.overlaps(c.select(F.col("concept_id").alias("cluster"), "members"), c).where("cluster <> concept_id")
+    w = Window.partitionBy("cluster").orderBy(F.desc("jaccard"), "concept_id")
+    return found.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+@query("jaccard_best", with_views("concepts_v", """select a.concept_id as cluster, min(b.concept_id) as concept_id, 1.0 as jaccard from concepts_v a join concepts_v b on a.members=b.members where len(a.members)>0 group by 1"""), doubles="jaccard")
+def jaccard_best(spark, d):
+    """Each concept as a cluster against all concepts, itself among them: the best is the first with the same members."""
     c = V.concepts(spark, d)
-    a = c.select(F.col("concept_id").alias("cluster"), F.size("members").alias("na"), F.explode("members").alias("m"))
-    b = c.select("concept_id", F.size("members").alias("nb"), F.explode("members").alias("m"))
-    both = a.join(b, "m").where("cluster <> concept_id").groupBy("cluster", "concept_id").agg(F.count("*").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    scored = both.select("cluster", "concept_id", "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard"))
-    return scored.groupBy("cluster").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "concept_id", "overlap")).alias("m")).select("cluster", "m.concept_id", "m.overlap", (-F.col("m.j")).alias("jaccard"))
+    return O.best_jaccard(c.select(F.col("concept_id").alias("cluster"), "members"), c).select("cluster", "concept_id", "jaccard")
 
 
 @query("concept_merge_candidates", with_views("concepts_v", """select a, b, jaccard from (select a.concept_id as a, b.concept_id as b, count(*)*1.0/(any_value(len(a.members))+any_value(len(b.members))-count(*)) as jaccard

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.config import BENCHMARK_QUERIES
 from tessera.operators import expand as X
 from tessera.operators import fusion as S
 from tessera.operators import knn as K
@@ -50,6 +51,43 @@ def knn_batch_seed(spark, d):
     return seed_edges(K.knn(G.queries(spark, d), _rows(spark, d), 6, drop_self=True))
 
 
+@query("ingest_deferred", with_views("seeds_v", "select q as source, id as target, 'related_to' as relationship, 0.3 as weight, 0.5 as confidence, score as avg_sim, 1 as seen_count from seeds_v where rk<=6 and q<>id"), doubles="weight confidence avg_sim")
+def ingest_deferred(spark, d):
+    """Edges of the query vectors seeded after all are stored: each meets itself first."""
+    from tessera.operators.ingest import deferred_edges
+
+    rows = _rows(spark, d).select("id", "v", "database_id")
+    return deferred_edges(G.queries(spark, d).select(F.col("q").alias("id"), "v", "database_id"), rows)
+
+
+_BATCH = """, near as (select q.vec_id as q, c.vec_id as c, list_cosine_similarity(q.v,c.v) as sim, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v,c.v) desc, c.vec_id) as rk
+ from vectors_v q join vectors_v c on q.database_id=c.database_id where q.vec_id%20=0 and c.vec_id%20<>0), dup as (select q from near where rk=1 and sim>=0.4)"""
+
+
+@query("ingest_kept", with_views("vectors_v", _BATCH + " select vec_id as id from vectors_v where vec_id%20=0 and vec_id not in (select q from dup)"))
+def ingest_kept(spark, d):
+    """The query vectors as a batch against all others: what is left without duplicates of stored rows."""
+    return _batch(spark, d)[0].select("id")
+
+
+@query("ingest_seeds", with_views("vectors_v", _BATCH + " select q as source, c as target, 'related_to' as relationship, 0.3 as weight, 0.5 as confidence, sim as avg_sim, 1 as seen_count from near where rk<=6 and q not in (select q from dup)"), doubles="weight confidence avg_sim")
+def ingest_seeds(spark, d):
+    return _batch(spark, d)[1]
+
+
+def _batch(spark, d):  # noqa: ANN001, ANN202
+    from tessera.operators.ingest import ingest_batch
+
+    new = G.queries(spark, d).select(F.col("q").alias("id"), "v", "database_id")
+    stored = _rows(spark, d).where("id % 20 <> 0").select("id", "v", "database_id")
+    return ingest_batch(new, stored, threshold=0.4)
+
+
+@query("benchmark_queries", "select * from (values " + ", ".join("(%d, '%s')" % (i, q.replace("'", "''")) for i, q in enumerate(BENCHMARK_QUERIES)) + ") t(q, query)")
+def benchmark_queries(spark, d):
+    return spark.createDataFrame(list(enumerate(BENCHMARK_QUERIES)), "q int, query string")
+
+
 @query("duplicate_check", with_views("knn_v", "select vec_id as q, target_id as id, sim from knn_v where rk=1 and sim>=0.4"), doubles="sim")
 def duplicate_check(spark, d):
     return K.duplicates(G.queries(spark, d), _rows(spark, d), 0.4)

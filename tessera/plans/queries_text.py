@@ -93,11 +93,16 @@ def header_lines(spark, d):
 _LINES = rf"list_filter(list_transform(string_split(text,chr(10)), lambda l: {_strip('l')}), lambda l: l<>'')"
 
 
-@query("citation_filter", rf"""select doc_id, n, hits from (select doc_id, cast(len(x) as int) as n, cast(len(list_filter(x, lambda l: starts_with(l,'^ ') or regexp_matches(l,'^[A-Z][a-z]+.{{0,60}}\(\d{{4}}\)'))) as int) as hits from (select doc_id, {_LINES} as x from documents where text is not null)) where n>=2 and hits*1.0/n>0.5""")
+_QUOTED = "replace(text,chr(10),chr(10)||'^ ')"
+
+
+@query("citation_filter", rf"""select doc_id, n, hits from (select doc_id, cast(len(x) as int) as n, cast(len(list_filter(x, lambda l: starts_with(l,'^ ') or regexp_matches(l,'^[A-Z][a-z]+.{{0,60}}\(\d{{4}}\)'))) as int) as hits from (select doc_id, {_LINES.replace("string_split(text", "string_split(" + _QUOTED)} as x from documents where text is not null)) where n>=2 and hits*1.0/n>0.5""")
 def citation_filter(spark, d):
-    lines = X._lines(F.col("text"))
+    """All texts with the mark of a reference before each line but the first, since no text is a bibliography as it stands."""
+    text = F.replace("text", F.lit("\n"), F.lit("\n^ "))
+    lines = X._lines(text)
     hits = F.filter(lines, lambda x: x.startswith("^ ") | x.rlike(r"^[A-Z][a-z]+.{0,60}\(\d{4}\)"))
-    return _docs(spark, d, "text").where(X.is_citation_chunk(F.col("text"))).select("doc_id", F.size(lines).alias("n"), F.size(hits).alias("hits"))
+    return _docs(spark, d, "text").where(X.is_citation_chunk(text)).select("doc_id", F.size(lines).alias("n"), F.size(hits).alias("hits"))
 
 
 @query("glossary_filter", rf"""select doc_id from (select doc_id, len(x) as n, len(list_filter(x, lambda l: (regexp_matches(l,'^[A-Z][a-z]+.*[A-Z][a-z]') and length(l)<120) or (regexp_matches(l,'^[A-Z][A-Za-z\s\-]{{0,40}}:\s') and length(l)<150) or (regexp_matches(l,'^[A-Z][A-Za-z\s]{{0,40}}\s[—–]\s') and length(l)<150))) as hits from (select doc_id, {_LINES} as x from documents where text is not null)) where n>=4 and hits*1.0/n>0.45""")
@@ -105,6 +110,22 @@ def glossary_filter(spark, d):
     return _docs(spark, d, "text").where(X.is_glossary_chunk(F.col("text"))).select("doc_id")
 
 
+@query("safe_filename", "select distinct source, lower(substr(regexp_replace(source,'[^a-zA-Z0-9]+','_','g'),1,40)) as name from chunks where source is not null")
+def safe_filename(spark, d):
+    return table(spark, d, "chunks", "source").where("source is not null").distinct().select("source", D.safe_filename(F.col("source")).alias("name"))
+
+
+_SP = r"[ \t\n\x{0B}\f\r]+"
+
+
+@query("script_spoken", rf"""select doc_id, cast(len(p) as int) as segments, cast(floor(words/150.0*60+0.5) as bigint) as seconds, md5(array_to_string(p,'|')) as hash from (select doc_id, p, list_sum(list_transform(p, lambda x: len(list_filter(regexp_split_to_array(x,'{_SP}'), lambda w: w<>'')))) as words from
+ (select doc_id, list_filter(list_transform(range(0,len(f)), lambda i: trim(array_to_string(list_transform(f[i*2+1:i*2+2], lambda x: trim(x)),' '))), lambda x: x<>'') as p from (select doc_id, regexp_extract_all(text,'[^.!?]+[.!?]+') as f from documents where text is not null))) where len(p)>0""")
+def script_spoken(spark, d):
+    """Every text as a monologue: its segments and how long they take to speak."""
+    s = _docs(spark, d, "text").where("text is not null").select("doc_id", D.script_segments(F.col("text"), "monologue").alias("s")).where("size(s) > 0")
+    return s.select("doc_id", F.size("s").alias("segments"), D.script_seconds(F.col("s")).alias("seconds"), F.md5(F.array_join(F.transform("s", lambda x: x["text"]), "|")).alias("hash"))
+
+
 @query("source_label", "select distinct source, case when regexp_matches(source,'(?i)^https?://') then source else string_split(source,'/')[-1] end as label from chunks where source is not null")
 def source_label(spark, d):
     return table(spark, d, "chunks", "source").where("source is not null").distinct().select("source", X.source_label(F.col("source")).alias("label"))
@@ -210,6 +231,31 @@ def html_extract(spark, d):
     return _parsed(spark, d).where("source rlike '^https?://' and text is not null").select("parsed_id", F.md5(read(page)).alias("hash"))
 
 
+_CLEAN = rf"list_filter(list_transform(string_split(text,chr(10)), lambda l: trim(regexp_replace(l,'[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+',' ','g'))), lambda l: l<>'')"
+
+
+@query("page_extract", rf"""WITH {_P} select parsed_id, md5('# '||source||chr(10)||chr(10)||'about it'||case when len(x)>0 then chr(10)||chr(10)||array_to_string(x,chr(10)||chr(10)) else '' end) as hash, length(array_to_string(x,' ')) as bare from (select parsed_id, source, {_CLEAN} as x from parsed_v where regexp_matches(source,'^https?://') and text is not null)""")
+def page_extract(spark, d):
+    """Web pages set as fetched pages (title, description, notices in other letters' case), and as pages without any block."""
+    from tessera.functions.html import html_text, page_text
+
+    esc = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.array_join(F.transform(F.split(esc, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    head = F.concat(F.lit("<html><head><title>"), F.replace("source", F.lit("&"), F.lit("&amp;")), F.lit('</title><meta name="Description" content=" about  it"></head><body><div class="Site-Cookie"><p>accept</p></div><ASIDE><p>aside</p></ASIDE><div id="Top AD"><p>buy</p></div><main>'))
+    page = F.concat(head, body, F.lit("</main></body></html>"))
+    bare = F.concat(F.lit("<body><nav>menu</nav><div>"), esc, F.lit("</div></body>"))
+
+    @F.pandas_udf("string")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(page_text)
+
+    @F.pandas_udf("string")
+    def stored(s: pd.Series) -> pd.Series:
+        return s.map(html_text)
+
+    return _parsed(spark, d).where("source rlike '^https?://' and text is not null").select("parsed_id", F.md5(read(page)).alias("hash"), F.length(stored(bare)).cast("long").alias("bare"))
+
+
 @query("text_overlap", with_views("chunks_v", """select a, b, case when length(x)=0 or length(y)=0 then 0.0 else len(list_filter(range(0,cast(floor(length(s)/60) as bigint)), lambda i: contains(l, substr(s, i*60+1, 60))))*60.0/length(s) end as overlap from
  (select a.chunk_id as a, b.chunk_id as b, a.text as x, b.text as y, case when length(a.text)<=length(b.text) then a.text else b.text end as s, case when length(a.text)<=length(b.text) then b.text else a.text end as l from chunks_v a join chunks_v b on a.source=b.source and b.page=a.page+1 where a.text is not null and b.text is not null)"""), doubles="overlap")
 def text_overlap(spark, d):
