@@ -326,7 +326,7 @@ def shingle_ranks(sets: DataFrame, counters: int) -> np.ndarray:
     return gathered(sets.select("shingles").mapInArrow(partial(_counted, counters), "slice int, counts binary"), _summed, counters)
 
 
-_PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary, hot_key long, hot_code binary"
+_PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary, hot_key long, hot_code binary, hot_size int, hot_place int"
 
 
 def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -356,7 +356,7 @@ def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.Recor
             if hot.any():
                 k = int(hot.sum())
                 empty = [pa.nulls(k, pa.binary())] * 7
-                yield _arrow(names, pa.nulls(k, pa.int32()), *empty, pa.array(key[hot].view(np.int64)), pa.array([x.tobytes() for x in code[row[hot]]], pa.binary()))
+                yield _arrow(names, pa.nulls(k, pa.int32()), *empty, pa.array(key[hot].view(np.int64)), pa.array([x.tobytes() for x in code[row[hot]]], pa.binary()), pa.array(size[row[hot]].astype(np.int32)), pa.array(place[hot].astype(np.int32)))
                 key, row, place = key[~hot], row[~hot], place[~hot]
             if not len(key):
                 continue
@@ -372,7 +372,7 @@ def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.Recor
                 for c, x in zip(cols, (int(to[o[0]]), key[o], of.astype(np.uint16), np.minimum(place[o], 65535).astype(np.uint16), code[rows], size[rows].astype(np.uint32), narrow[rows], wide[big]), strict=True):
                     c.append(x if isinstance(x, int) else x.tobytes())
             m = len(cols[0])
-            yield _arrow(names, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()))
+            yield _arrow(names, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()))
 
 
 def prune(key: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -482,7 +482,7 @@ def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     label = np.array([root(x) for x in range(len(code))])
-    rows = Rows(np.zeros(len(code), dtype=np.int64), narrow, size, part=known, side=side, wide=wide, wide_at=np.where(size > WIDE_FROM, np.arange(len(size)), -1))
+    rows = Rows(np.zeros(len(code), dtype=np.int64), narrow, size, part=known, side=side, wide=wide, wide_at=np.arange(len(size)))
     for i, j in trie_join(rows, t):
         for at in range(0, len(i), 4096):
             # pairs that links found before have connected are dropped as arrays, not one by one
@@ -498,6 +498,14 @@ def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _able(posts: DataFrame, t: float) -> DataFrame:
+    """(key, digest) of the postings that aren't packed, without those that no other of their bucket may be linked with (see `prune`)."""
+    upto = F.floor((F.col("hot_size") - F.col("hot_place")) * ((1 + t) / t) + 1e-9) - F.col("hot_size")
+    rows = durable(posts.where("p is null").select(F.col("hot_key").alias("key"), F.col("hot_code").alias("digest"), F.col("hot_size").alias("size"), upto.alias("upto")))
+    bound = rows.groupBy(F.col("key").alias("k")).agg(F.min("size").alias("lo"), F.max("upto").alias("hi"))
+    return lookup(rows, "key", bound, "k").where("lo <= upto and hi >= size").select("key", "digest")
+
+
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return lookup(durable(rows), "code", sets.select(F.col("code").alias("k"), "shingles"), "k")
 
@@ -619,7 +627,7 @@ def classes(df: DataFrame, id: str, text: str, width: int = 5, t: float = 0.8, l
     packed = posts.where("p is not null").repartitionById(n, F.col("p")).select("key", "of", "place", "code", "size", "narrow", "wide")
     found = durable(packed.mapInArrow(partial(_joined, t, small), _FOUND))
     pairs = durable(found.where("a is not null").select("a", "b").distinct())
-    large = durable(posts.where("p is null").select(F.col("hot_key").alias("key"), F.col("hot_code").alias("digest")).unionByName(found.where("a is null").select("key", F.col("code").alias("digest"))).distinct())
+    large = durable(_able(posts, t).unionByName(found.where("a is null").select("key", F.col("code").alias("digest"))).distinct())
     ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("digest").alias("a")))
     needed = sets_of(sets, ends).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     needed = durable(needed.join(codes, F.col("digest") == F.col("k")).select("digest", "code", "shingles"))
