@@ -627,7 +627,9 @@ def classes(df: DataFrame, id: str, text: str, width: int = 5, t: float = 0.8, l
     packed = posts.where("p is not null").repartitionById(n, F.col("p")).select("key", "of", "place", "code", "size", "narrow", "wide")
     found = durable(packed.mapInArrow(partial(_joined, t, small), _FOUND))
     pairs = durable(found.where("a is not null").select("a", "b").distinct())
-    large = durable(_able(posts, t).unionByName(found.where("a is null").select("key", F.col("code").alias("digest"))).distinct())
+    hot = posts.where("p is null")
+    hot = _able(posts, t) if hot.limit(1).count() else hot.select(F.col("hot_key").alias("key"), F.col("hot_code").alias("digest"))
+    large = durable(hot.unionByName(found.where("a is null").select("key", F.col("code").alias("digest"))).distinct())
     ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("digest").alias("a")))
     needed = sets_of(sets, ends).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     needed = durable(needed.join(codes, F.col("digest") == F.col("k")).select("digest", "code", "shingles"))
