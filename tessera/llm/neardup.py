@@ -18,11 +18,13 @@ of at least t. The join loses no link:
 
 All tries of a task are one sorted array and the walk goes level by level over
 arrays of node pairs, so nothing is done per pair in Python. Shingles travel in packed rows, one for
-each batch of texts and partition, in which a text's sketch stands once.
+each batch of texts and partition, in which a text's sketch stands once. With many partitions a sketch goes
+with nearly every shingle; so postings are shuffled and joined in rounds, some partitions at a time, and
+between them only the rarest shingles of each text are kept. Sets are never kept: texts are shingled again when they are needed.
 
 Copies of a set come out once for each task that reads one, and are seen to be one where they meet.
 
-Buckets of over SMALL texts are never paired in full. They are cut into blocks, and in a block
+Buckets of over MIDDLE blocks, and those of over SMALL texts in which many pairs are candidates, are never paired in full. They are cut into blocks, and in a block
 union-find keeps only a spanning forest of its verified links. First each text is joined in two
 buckets, whose blocks share two texts; this makes one component of a group of near-copies. Buckets of one
 component are then done. In others a text stays only if enough of its shingles
@@ -34,7 +36,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from tessera.llm.filters import SLICES, filter_of, gathered, may_hold
 from tessera.operators.components import components
 from tessera.operators.skew import lookup
-from tessera.plans.durable import durable
+from tessera.plans.durable import durable, release
 from tessera.sources.tables import table
 
 _WORD = re.compile(r"[^\W_]+")
@@ -55,8 +57,14 @@ NARROW, WIDE, WIDE_FROM = 24, 72, 128
 MOST_COUNTERS = 1 << 24
 #: Texts of a bucket whose candidates are listed as pairs, and texts that are joined in one block beyond.
 SMALL, BLOCK = 128, 2048
+#: Blocks of a bucket that is still joined in one task, where few of its pairs are candidates.
+MIDDLE = 64
 #: Postings in one task, about 15 MB.
 POSTINGS_PER_TASK = 750_000
+#: Bytes of a shingle that are its key; what shares one by chance is seen not to be linked.
+KEY = 6
+#: Bytes of postings that are shuffled at once, at least; else one and a half times what the texts' rarest shingles take.
+LEAST_ROUND = 1 << 27
 #: Node pairs and rows that are walked at once.
 PAIRS, ROWS = 1 << 18, 1 << 15
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -68,40 +76,82 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Known(dict):
-    """Hashes of words; forgets all when it is large."""
+#: The byte of a word that each byte stands for: ASCII letters in lower case, digits, all of other scripts; 0 between words.
+_BYTE = np.array([ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else i if i > 127 else 0 for i in range(256)], dtype=np.uint8)
+#: A number for each place in a word and each byte there, and 0 between words; longer words are hashed one by one.
+_LONG = 64
+_VALUE = _mix(np.arange(1, _LONG * 256 + 1, dtype=np.uint64) * _M1)
+_VALUE[::256] = 0
+#: Bytes of text that are looked at at once.
+_BYTES = 1 << 20
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _plain(text: str) -> bytes:
+    """The text's words in bytes, parted by bytes that are 0 in _BYTE."""
+    return text.encode() if text.isascii() else " ".join(_WORD.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
 class Shingler:
     """Texts to the sorted 64-bit hashes of their distinct runs of `width` words; none for a text under `least` words."""
 
     def __init__(self, width: int, least: int) -> None:
-        self.width, self.least, self.known = width, max(least, width), _Known()
+        self.width, self.least = width, max(least, width)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
         """Places of the texts that take part, and the set of each."""
-        at, lengths, words = [], [], []
+        at: list[int] = []
+        sets: list[np.ndarray] = []
+        group: list[tuple[int, bytes]] = []
+        held = 0
         for i, text in enumerate(texts):
-            if text and len(w := _WORD.findall(text.lower())) >= self.least:
-                at.append(i)
-                lengths.append(len(w))
-                words += w
-        h = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+            if text:
+                group.append((i, _plain(text)))
+                held += len(group[-1][1]) + 1
+                if held > _BYTES:
+                    self._add(group, at, sets)
+                    group, held = [], 0
+        if group:
+            self._add(group, at, sets)
+        return at, sets
+
+    def _add(self, group: list[tuple[int, bytes]], at: list[int], sets: list[np.ndarray]) -> None:
+        joined = b" ".join(x for _, x in group) + b" "
+        c = _BYTE[np.frombuffer(joined, dtype=np.uint8)]
+        inside = np.concatenate([[False], c > 0])
+        first = np.flatnonzero(inside[1:] & ~inside[:-1])
+        last = np.flatnonzero(inside[:-1] & ~inside[1:])
+        if not len(first):
+            return
+        # blanks after a word count as 0, so each byte may belong to the word before it
+        place = np.arange(len(c)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(c)]])))
+        h = np.add.reduceat(_VALUE[np.minimum(place, _LONG - 1) * 256 + c], first)
+        for k in np.flatnonzero(last - first > _LONG).tolist():
+            h[k] = _long_word(c[first[k] : last[k]].tobytes())
+        words = np.diff(np.searchsorted(first, np.concatenate([[0], np.cumsum([len(x) + 1 for _, x in group])])))
+        keep = words >= self.least
+        h, words = h[np.repeat(keep, words)], words[keep]
         n = max(0, len(h) - self.width + 1)
+        if not len(words):
+            return
         out = np.zeros(n, dtype=np.uint64)
         for i in range(self.width):
             out = _mix(out * _M1 + h[i : i + n] + np.uint64(i))
-        ends = np.cumsum(lengths)
+        at += [i for (i, _), ok in zip(group, keep.tolist(), strict=True) if ok]
         # runs that cross from one text into the next are not looked at
-        return at, [np.unique(out[b - n : b - self.width + 1]) for b, n in zip(ends.tolist(), lengths, strict=True)]
+        ends = np.cumsum(words)
+        for b, w in zip(ends.tolist(), words.tolist(), strict=True):
+            s = out[b - w : b - self.width + 1]
+            s.sort()
+            sets.append(s[np.concatenate([_TRUE, s[1:] != s[:-1]])])
+
+
+_TRUE = np.ones(1, bool)
+
+
+def _long_word(word: bytes) -> np.uint64:
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(word))
 
 
 def parity_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,59 +307,110 @@ def _arrow(names: str, *cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols), names=names.split())
 
 
-def _shingled(width: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(sets: list[np.ndarray]) -> list[bytes]:
+    """Two independent sums of each set: 128 bits that are equal for equal sets."""
+    if not sets:
+        return []
+    flat = np.concatenate(sets)
+    first = np.cumsum([0] + [len(x) for x in sets[:-1]])
+    sums = np.stack([np.add.reduceat(_mix(flat * m), first) for m in (_M1, _M3)], axis=1).tobytes()
+    return [sums[i : i + 16] for i in range(0, len(sums), 16)]
+
+
+def _fresh(shingle: Shingler, seen: set[bytes], texts: list[str | None]) -> tuple[list[int], list[bytes], list[np.ndarray], list[bool]]:
+    """Places, digests and sets of the texts that take part, and whether this task hasn't seen the set."""
+    at, sets = shingle(texts)
+    digest = _digests(sets)
+    if len(seen) > 1_000_000:
+        seen.clear()
+    new = []
+    for d in digest:
+        new.append(d not in seen)
+        seen.add(d)
+    return at, digest, sets, new
+
+
+_DIGESTED = "digest binary, n int, slice int, counts binary"
+
+
+def _digested(width: int, least: int, counters: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, digest) of each text, with the size of sets that the task hasn't seen before; at last what it counted of their shingles."""
     shingle = Shingler(width, least)
     seen: set[bytes] = set()
+    count = np.zeros(counters, dtype=np.uint32)
+    kind = None
     for batch in batches:
+        kind = batch.column(0).type
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            places, sets = shingle(part.column(1).to_pylist())
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            # two independent sums of the set: 128 bits that are equal for equal sets
-            first = np.cumsum([0] + [len(s) for s in sets[:-1]])
-            sums = [np.add.reduceat(_mix(flat * m), first) if sets else flat for m in (_M1, _M3)]
-            digest = [a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            raw = []
-            for d, s in zip(digest, sets, strict=True):
-                raw.append(None if d in seen else s.tobytes())
-                seen.add(d)
-            yield _arrow("id digest shingles", part.column(0).take(pa.array(places, pa.int64())), pa.array(digest, pa.binary()), pa.array(raw, pa.binary()))
+            places, digest, sets, new = _fresh(shingle, seen, part.column(1).to_pylist())
+            if not sets:
+                continue
+            if any(new):
+                slot, n = np.unique(np.concatenate([s for s, ok in zip(sets, new, strict=True) if ok]) & np.uint64(counters - 1), return_counts=True)
+                count[slot.astype(np.int64)] += n.astype(np.uint32)
+            size = [len(s) if ok else None for s, ok in zip(sets, new, strict=True)]
+            k = len(sets)
+            yield _arrow("id digest n slice counts", part.column(0).take(pa.array(places, pa.int64())), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()))
+    if kind is None:
+        return
+    for i, x in enumerate(np.minimum(count, 65535).astype(np.uint16).reshape(SLICES, -1)):
+        if len(at := np.flatnonzero(x)):
+            # only the counters that aren't 0, with their places
+            raw = at.astype(np.uint16).tobytes() + x[at].tobytes()
+            yield _arrow("id digest n slice counts", pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([i], pa.int32()), pa.array([raw], pa.binary()))
 
 
-def _set(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint64)
+def _chosen(width: int, least: int, marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """(digest, shingles) of the texts (mark, text) whose mark may be among the marked ones."""
+    shingle, marks = Shingler(width, least), marks.value
+    seen: set[bytes] = set()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch.filter(pa.array(may_hold(marks, batch.column(0).to_pylist())))
+        for at in range(0, batch.num_rows, 2048):
+            _, digest, sets, new = _fresh(shingle, seen, batch.column(1).slice(at, 2048).to_pylist())
+            rows = [(d, s.tobytes()) for d, s, ok in zip(digest, sets, new, strict=True) if ok]
+            if rows:
+                yield _arrow("digest shingles", *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)))
 
 
-def _counted(counters: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(counters, dtype=np.uint32)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            flat = _set(b"".join(batch.column(0).slice(at, 4096).to_pylist()))
-            slot, n = np.unique(flat & np.uint64(counters - 1), return_counts=True)
-            count[slot.astype(np.int64)] += n.astype(np.uint32)
-    for i, x in enumerate(np.minimum(count, 65535).astype(np.uint16).reshape(SLICES, -1)):
-        if x.any():
-            yield _arrow("slice counts", pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()))
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint64)
 
 
 def _passing(marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Rows (digest, shingles) whose digest may be among the marked ones."""
+    """Rows whose digest, the first column, may be among the marked ones."""
     marks = marks.value
     for batch in batches:
         if batch.num_rows:
             yield batch.filter(pa.array(may_hold(marks, batch.column(0).to_pylist())))
 
 
-def sets_of(sets: DataFrame, digests: DataFrame) -> DataFrame:
-    """The rows of `sets` (digest, shingles) that `digests` names, and few others: a filter of bounded size goes to the sets, so that they needn't be shuffled to be chosen."""
-    marks = filter_of(digests)
-    return sets.mapInArrow(partial(_passing, sets.sparkSession.sparkContext.broadcast(marks)), "digest binary, shingles binary")
+def _mark(c: str) -> F.Column:
+    return F.unhex(F.md5(F.col(c).cast("string").cast("binary")))
 
 
-def _summed(part: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in part["counts"])
+def sets_of(raw: DataFrame, named: DataFrame, digests: DataFrame, width: int, least: int) -> DataFrame:
+    """(digest, shingles) of the sets that `digests` names, and few others, made anew from their texts.
+
+    raw: id, text. named: digest, id. Filters of bounded size choose an id for each digest and then its text, so that
+    neither sets nor texts need be kept or shuffled.
+    """
+    sc = raw.sparkSession.sparkContext
+    kind = named.schema["id"].dataType.simpleString()
+    likely = named.mapInArrow(partial(_passing, sc.broadcast(filter_of(digests))), f"digest binary, id {kind}")
+    ids = durable(likely.groupBy("digest").agg(F.min("id").alias("id")).select(_mark("id").alias("mark")))
+    texts = raw.select(_mark("id").alias("mark"), "text")
+    return texts.mapInArrow(partial(_chosen, width, least, sc.broadcast(filter_of(ids))), "digest binary, shingles binary")
+
+
+def _summed(width: int, part: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(width, dtype=np.int64)
+    for x in part["counts"]:
+        at, n = np.frombuffer(x, dtype=np.uint16).reshape(2, -1)
+        total[at] += n
     return pd.DataFrame({"slice": part["slice"][:1], "ranks": [rank_of(total).tobytes()]})
 
 
@@ -318,61 +419,90 @@ def rank_of(count: np.ndarray) -> np.ndarray:
     return np.where(count <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(count, 1))))).astype(np.uint8)
 
 
-def shingle_ranks(sets: DataFrame, counters: int) -> np.ndarray:
-    """How frequent the shingles of each counter are together, by `rank_of`: a table of fixed size, counted over all rows.
+def shingle_ranks(counts: DataFrame, counters: int) -> np.ndarray:
+    """How frequent the shingles of each counter are together, by `rank_of`: a table of fixed size, from what the tasks counted (slice, counts).
 
     Only the order by rarity and what is certainly a shingle of one text are taken from it, so its noise costs time but no link.
     """
-    return gathered(sets.select("shingles").mapInArrow(partial(_counted, counters), "slice int, counts binary"), _summed, counters)
+    return gathered(counts, partial(_summed, counters // SLICES), counters)
 
 
-_PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary, hot_key long, hot_code binary, hot_size int, hot_place int"
+_RARE = "digest binary, size int, keys binary, narrow binary, wide binary, hot_key long, hot_code binary, hot_size int, hot_place int"
 
 
-def _postings(ranks, t: float, hot_rank: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Rare shingles of sets (digest, shingles), packed by partition; those that may be in a large share of all texts come out one by one."""
-    rank = ranks.value
-    names = _PACKED.replace(" binary", "").replace(" int", "").replace(" long", "").replace(",", "")
+def _rare(width: int, least: int, ranks, t: float, hot_rank: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """The rarest shingles of each text's set in the order by rarity, KEY bytes each, with its sketches; those that may be in a large share of all texts come out one by one.
+
+    A shingle that comes out so, or that was counted once and so stands in no other set, leaves a 0 in its place.
+    """
+    shingle, rank = Shingler(width, least), ranks.value
+    seen: set[bytes] = set()
+    names = _RARE.replace(" binary", "").replace(" int", "").replace(" long", "").replace(",", "")
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            sets = [_set(x) for x in part.column(1).to_pylist()]
+            _, digest, sets, new = _fresh(shingle, seen, batch.column(0).slice(at, 2048).to_pylist())
+            digest, sets = ([x for x, ok in zip(c, new, strict=True) if ok] for c in (digest, sets))
             if not sets:
                 continue
-            code, size = np.array(part.column(0).to_pylist(), dtype="V16"), np.array([len(s) for s in sets], dtype=np.int64)
+            size = np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate(sets)
             f = rank[(flat & np.uint64(len(rank) - 1)).astype(np.int64)]
             # sets are sorted and the sort is stable, so shingles of one rank are everywhere in the order of their hashes
             ends = np.cumsum(size)
             want = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-            own = [b - n_ + f[b - n_ : b].argsort(kind="stable")[:w] for b, n_, w in zip(ends.tolist(), size.tolist(), want.tolist(), strict=True)]
-            where = np.concatenate(own)
-            row = np.repeat(np.arange(len(sets)), want)
-            place = np.arange(len(where)) - np.repeat(np.cumsum(want) - want, want)
-            # a shingle counted once stands in no other set
-            some = f[where] > 0
-            where, row, place = where[some], row[some], place[some]
-            key, hot = flat[where], f[where] >= hot_rank
-            if hot.any():
-                k = int(hot.sum())
-                empty = [pa.nulls(k, pa.binary())] * 7
-                yield _arrow(names, pa.nulls(k, pa.int32()), *empty, pa.array(key[hot].view(np.int64)), pa.array([x.tobytes() for x in code[row[hot]]], pa.binary()), pa.array(size[row[hot]].astype(np.int32)), pa.array(place[hot].astype(np.int32)))
-                key, row, place = key[~hot], row[~hot], place[~hot]
-            if not len(key):
-                continue
+            where = np.concatenate([b - n_ + f[b - n_ : b].argsort(kind="stable")[:w] for b, n_, w in zip(ends.tolist(), size.tolist(), want.tolist(), strict=True)])
+            key = (flat[where] >> np.uint64(64 - 8 * KEY)) | np.uint64(1)
+            hot = np.flatnonzero(f[where] >= hot_rank)
+            if len(hot):
+                k = len(hot)
+                row = np.repeat(np.arange(len(sets)), want)[hot]
+                place = (np.arange(len(where)) - np.repeat(np.cumsum(want) - want, want))[hot]
+                empty = pa.nulls(k, pa.binary())
+                yield _arrow(names, empty, pa.nulls(k, pa.int32()), empty, empty, empty, pa.array(key[hot].view(np.int64)), pa.array([digest[r] for r in row.tolist()], pa.binary()), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32)))
+            key[(f[where] == 0) | (f[where] >= hot_rank)] = 0
+            raw = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+            cut = np.concatenate([[0], np.cumsum(want)]) * KEY
             narrow, wide = parity_sketches(sets)
+            m = len(sets)
+            yield _arrow(names, pa.array(digest, pa.binary()), pa.array(size.astype(np.int32)), pa.array([raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()), pa.array([x.tobytes() for x in narrow], pa.binary()), pa.array([x.tobytes() if n_ > WIDE_FROM else b"" for x, n_ in zip(wide, size.tolist(), strict=True)], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()))
+
+
+_PACKED = "p int, key binary, of binary, place binary, code binary, size binary, narrow binary, wide binary"
+
+
+def _postings(first: int, upto: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts (digest, size, keys, narrow, wide) the shingles that belong to the partitions from `first` to `upto` of n, packed by partition."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            code, size = np.array(part.column(0).to_pylist(), dtype="V16"), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = part.column(2).to_pylist()
+            narrow = np.array(part.column(3).to_pylist(), dtype=f"V{NARROW}")
+            wide = np.array(part.column(4).to_pylist(), dtype=f"V{WIDE}")
+            want = np.array([len(x) // KEY for x in keys], dtype=np.int64)
+            key = np.zeros((int(want.sum()), 8), dtype=np.uint8)
+            key[:, :KEY] = np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, KEY)
+            key = key.view(np.uint64).ravel()
             to = (_mix(key * _M3) % np.uint64(n)).astype(np.int64)
+            mine = np.flatnonzero((key > 0) & (to >= first) & (to < upto))
+            if not len(mine):
+                continue
+            row = np.repeat(np.arange(len(keys)), want)[mine]
+            place = mine - (np.cumsum(want) - want)[row]
+            key, to = key[mine], to[mine] - first
             order = np.argsort(to, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) > 0, [True]]))
             cols: list[list] = [[] for _ in range(8)]
             for a, b in zip(cut[:-1], cut[1:]):  # noqa: B905
                 o = order[a:b]
-                rows, of = np.unique(row[o], return_inverse=True)
+                # rows go up in `order`
+                r = row[o]
+                new = np.concatenate([_TRUE, r[1:] != r[:-1]])
+                rows, of = r[new], np.cumsum(new) - 1
                 big = rows[size[rows] > WIDE_FROM]
                 for c, x in zip(cols, (int(to[o[0]]), key[o], of.astype(np.uint16), np.minimum(place[o], 65535).astype(np.uint16), code[rows], size[rows].astype(np.uint32), narrow[rows], wide[big]), strict=True):
                     c.append(x if isinstance(x, int) else x.tobytes())
-            m = len(cols[0])
-            yield _arrow(names, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()))
+            yield _arrow(_PACKED.replace(" binary", "").replace(" int", "").replace(",", ""), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]))
 
 
 def prune(key: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -400,8 +530,11 @@ def prune(key: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> tup
 _FOUND = "a binary, b binary, key long, code binary"
 
 
-def _joined(t: float, small: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of the small buckets in a partition, each pair once per partition, and the postings (key, code) of its large ones."""
+def _joined(t: float, small: int, middle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) of the buckets in a partition, each pair once per partition, and the postings (key, code) of large ones.
+
+    A bucket of over `small` texts is large if it has over `middle`, or over small / 4 candidates for each of its texts.
+    """
     got: list[list[np.ndarray]] = [[] for _ in range(7)]
     kinds = (np.uint64, np.uint16, np.uint16, "V16", np.uint32, np.uint8, np.uint8)
     held = 0
@@ -429,17 +562,34 @@ def _joined(t: float, small: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         o = o[np.concatenate([[True], (key[o[1:]] != key[o[:-1]]) | (of[o[1:]] != of[o[:-1]])])]
         key, of, place = key[o], of[o], place[o]
     rows, n = prune(key, size[of], place, t)
-    large = rows[n > small]
-    for at in range(0, len(large), 100_000):
-        r = large[at : at + 100_000]
-        none = pa.nulls(len(r), pa.binary())
-        yield _arrow("a b key code", none, none, pa.array(key[r].view(np.int64)), pa.array([x.tobytes() for x in code[of[r]]], pa.binary()))
-    rows = rows[n <= small]
     key, of, place = key[rows], of[rows], place[rows]
-    found = [np.zeros(0, np.int64)]
-    for i, j in trie_join(Rows(key, narrow[of], size[of], place, wide=wide, wide_at=wide_at[of]), t):
-        a, b = of[i], of[j]
-        found.append(np.unique(np.minimum(a, b) * len(code) + np.maximum(a, b)))
+    found, large = [np.zeros(0, np.int64)], [np.flatnonzero(n > middle)]
+
+    def candidates(x: np.ndarray) -> Iterator[np.ndarray]:
+        for i, j in trie_join(Rows(key[x], narrow[of[x]], size[of[x]], place[x], wide=wide, wide_at=wide_at[of[x]]), t):
+            a, b = of[x[i]], of[x[j]]
+            # sets with two shingles of one key meet themselves
+            a, b = a[a != b], b[a != b]
+            yield np.unique(np.minimum(a, b) * len(code) + np.maximum(a, b))
+
+    found += candidates(np.flatnonzero(n <= small))
+    some = np.flatnonzero((n > small) & (n <= middle))
+    ends = np.append(np.flatnonzero(np.diff(key[some])) + 1, len(some))
+    for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        own, most = [], (b - a) * (small // 4)
+        for x in candidates(some[a:b]):
+            own.append(x)
+            most -= len(x)
+            if most < 0:
+                large.append(some[a:b])
+                break
+        else:
+            found += own
+    for r in large:
+        for at in range(0, len(r), 100_000):
+            x = r[at : at + 100_000]
+            none = pa.nulls(len(x), pa.binary())
+            yield _arrow("a b key code", none, none, pa.array(key[x].view(np.int64)), pa.array([c.tobytes() for c in code[of[x]]], pa.binary()))
     a, b = np.divmod(np.unique(np.concatenate(found)), len(code))
     for at in range(0, len(a), 100_000):
         ends = [[x.tobytes() for x in code[c[at : at + 100_000]]] for c in (a, b)]
@@ -501,7 +651,7 @@ def _block(t: float, part: pd.DataFrame) -> pd.DataFrame:
 def _able(posts: DataFrame, t: float) -> DataFrame:
     """(key, digest) of the postings that aren't packed, without those that no other of their bucket may be linked with (see `prune`)."""
     upto = F.floor((F.col("hot_size") - F.col("hot_place")) * ((1 + t) / t) + 1e-9) - F.col("hot_size")
-    rows = durable(posts.where("p is null").select(F.col("hot_key").alias("key"), F.col("hot_code").alias("digest"), F.col("hot_size").alias("size"), upto.alias("upto")))
+    rows = durable(posts.where("hot_key is not null").select(F.col("hot_key").alias("key"), F.col("hot_code").alias("digest"), F.col("hot_size").alias("size"), upto.alias("upto")))
     bound = rows.groupBy(F.col("key").alias("k")).agg(F.min("size").alias("lo"), F.max("upto").alias("hi"))
     return lookup(rows, "key", bound, "k").where("lo <= upto and hi >= size").select("key", "digest")
 
@@ -600,39 +750,56 @@ def _large_links(posts: DataFrame, sets: DataFrame, t: float, block: int) -> Dat
     return links.unionByName(outer.where("a <> b"))
 
 
-def classes(df: DataFrame, id: str, text: str, width: int = 5, t: float = 0.8, least: int = 0, block: int = BLOCK, small: int = SMALL, counters: int = MOST_COUNTERS) -> DataFrame:
+def classes(df: DataFrame, id: str, text: str, width: int = 5, t: float = 0.8, least: int = 0, block: int = BLOCK, small: int = SMALL, counters: int = MOST_COUNTERS, least_round: int = LEAST_ROUND) -> DataFrame:
     """(id, class_id, n_class) of every id whose text takes part: near-duplicates, directly or through others, share a class.
 
     Texts with fewer than `least` words (or than `width`) and null texts take no
     part. Repeated rows and ids delivered twice count once; an id delivered with
     different texts is one vertex with all of them. class_id is the least id of
-    its class; a text without near-duplicates is a class of one. `block`, `small` and `counters` bound memory and change no row.
+    its class; a text without near-duplicates is a class of one. `block`, `small`, `counters` and `least_round` bound memory and disk and change no row.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     raw = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     kind = raw.schema["id"].dataType.simpleString()
-    shingled = durable(raw.mapInArrow(partial(_shingled, width, least), f"id {kind}, digest binary, shingles binary").withColumn("row", F.monotonically_increasing_id()))
-    # one class per distinct shingle set; the set's number is that of the first row that has it
-    codes = durable(shingled.groupBy(F.col("digest").alias("k")).agg(F.min("row").alias("code")))
-    of = durable(lookup(shingled.select("id", "digest").distinct(), "digest", codes, "k").select("id", "code"))
-    sets = shingled.where("shingles is not null").select("digest", "shingles")
-    runs = (sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
-    counters = min(counters, 1 << max(16, int(runs).bit_length()))
-    ranks = shingle_ranks(sets, counters)
+    # an upper bound of usual texts' words, so that they are counted while they are read for the first time
+    chars = raw.agg(F.sum(F.length("text"))).first()[0] or 0
+    counters = min(counters, 1 << max(16, int(chars // 5).bit_length()))
+    # neither texts nor sets are written: what needs them reads the texts again
+    read = durable(raw.mapInArrow(partial(_digested, width, least, counters), f"id {kind}, {_DIGESTED}").withColumn("row", F.monotonically_increasing_id()))
+    shingled = read.where("digest is not null").select("id", "digest", "row")
+    ranks = shingle_ranks(read.where("counts is not null").select("slice", "counts"), counters)
+    runs = read.agg(F.sum("n")).first()[0] or 0
     # shingles far above what a counter holds by chance may be in a large share of all texts: these are not packed
-    hot_rank = int(rank_of(np.array([max(8 * block, 8 * runs // counters)]))[0])
-    n = max(sc.defaultParallelism, int(runs * (1 - t)) // POSTINGS_PER_TASK + 1)
-    posts = durable(sets.mapInArrow(partial(_postings, sc.broadcast(ranks), t, hot_rank, n), _PACKED))
-    packed = posts.where("p is not null").repartitionById(n, F.col("p")).select("key", "of", "place", "code", "size", "narrow", "wide")
-    found = durable(packed.mapInArrow(partial(_joined, t, small), _FOUND))
+    hot_rank = int(rank_of(np.array([max(MIDDLE * block, 8 * runs // counters)]))[0])
+    posts = durable(raw.select("text").mapInArrow(partial(_rare, width, least, sc.broadcast(ranks), t, hot_rank), _RARE))
+    texts = posts.where("keys is not null").select("digest", "size", "keys", "narrow", "wide")
+    # a set's sketch stands in each partition that has one of its shingles, so not all postings are on disk at once
+    sums = texts.agg(F.count("*"), F.sum(F.length("keys")), F.sum(F.length("wide"))).first()
+    rows, keys, wide = sums[0], (sums[1] or 0) // KEY, sums[2] or 0
+    n = max(sc.defaultParallelism, keys // POSTINGS_PER_TASK + 1)
+    packed = keys * 12 + int(rows * (20 + NARROW) + wide) * min(n, keys // max(rows, 1) + 1)
+    rounds = min(n, -(-packed // max(1, least_round, 3 * (rows * (20 + NARROW) + wide + keys * KEY) // 2)) or 1)
+    n = max(n, sc.defaultParallelism * rounds)
+    each = -(-n // rounds)
+    parts = []
+    for first in range(0, n, each):
+        upto = min(n, first + each)
+        out = texts.mapInArrow(partial(_postings, first, upto, n), _PACKED).repartitionById(upto - first, F.col("p"))
+        parts.append(durable(out.select("key", "of", "place", "code", "size", "narrow", "wide").mapInArrow(partial(_joined, t, small, MIDDLE * block), _FOUND)))
+    found = reduce(DataFrame.unionByName, parts)
     pairs = durable(found.where("a is not null").select("a", "b").distinct())
-    hot = posts.where("p is null")
+    hot = posts.where("hot_key is not null")
     hot = _able(posts, t) if hot.limit(1).count() else hot.select(F.col("hot_key").alias("key"), F.col("hot_code").alias("digest"))
     large = durable(hot.unionByName(found.where("a is null").select("key", F.col("code").alias("digest"))).distinct())
-    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("digest").alias("a")))
-    needed = sets_of(sets, ends).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    release(posts, *parts)
+    # one class per distinct shingle set; the set's number is that of the first row that has it
+    codes = durable(shingled.groupBy(F.col("digest").alias("k")).agg(F.min("row").alias("code")))
+    of = durable(lookup(shingled.select("id", "digest").distinct(), "digest", codes, "k").select("id", "code"))
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("digest").alias("a"))).distinct()
+    needed = sets_of(raw, shingled.select("digest", "id"), durable(ends), width, least).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     needed = durable(needed.join(codes, F.col("digest") == F.col("k")).select("digest", "code", "shingles"))
+    release(read, codes)
     links = _small_links(pairs, needed, t)
     if large.limit(1).count():
         known = needed.select(F.col("digest").alias("k"), "code")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.session import settle
 
+#: The shuffle files of a write are of no use when it is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[object, object]] = []
 
 
@@ -38,11 +40,26 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     settle(spark)
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, kept) if kept is not None else spark.conf.unset(_CLEANUP)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     _WRITTEN.append((where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where))
-    return spark.read.schema(df.schema).parquet(path)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan._durable = _WRITTEN[-1]
+    return scan
+
+
+def release(*scans: DataFrame) -> None:
+    """Remove the copies that `durable` gave, once nothing reads them any more; what was derived from them without a copy can't be read then."""
+    for scan in scans:
+        _WRITTEN.remove(scan._durable)
+        fs, where = scan._durable
+        fs.delete(where, True)
 
 
 @atexit.register

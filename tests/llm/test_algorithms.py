@@ -93,6 +93,68 @@ def test_nulls_copies_and_empty_tables(spark):
     assert {r.class_id for r in neardup.classes(two, "id", "t", 3, 0.6, 20).collect()} == {"a"}
 
 
+def phrased(n):
+    """Texts of phrases of a small stock, so that a shingle stands in many that aren't linked; every tenth is an earlier one with a phrase changed."""
+    rng = random.Random(5)
+    stock = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(6)) for _ in range(n // 4)]
+    out = []
+    for i in range(n):
+        p = list(out[rng.randrange(i)]) if i and i % 10 == 0 else [rng.choice(stock) for _ in range(8)]
+        if i and i % 10 == 0:
+            p[rng.randrange(8)] = rng.choice(stock)
+        out.append(p)
+    return {i: " ".join(p) for i, p in enumerate(out)}
+
+
+def test_disk_that_classes_take_at_once(spark, monkeypatch):
+    from pathlib import Path
+
+    from tessera.plans.durable import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before, seen, durable = size(), [], neardup.durable
+
+    def measured(df):
+        out = durable(df)
+        seen.append(size() - before)
+        return out
+
+    monkeypatch.setattr(neardup, "durable", measured)
+    texts = phrased(4000)
+    df = spark.createDataFrame(list(texts.items()), "id long, t string").repartition(4)
+    got = neardup.classes(df, "id", "t", 3, 0.6, 20, counters=1 << 10)
+    assert got.where("n_class > 1").count() > 400
+    # kept sets alone would be 368 bytes a text, their packed postings as much again, and a bucket's large rows several times that
+    assert max(seen) < 400 * len(texts)
+
+
+@pytest.mark.parametrize("small", [4, 32, 128])
+def test_rounds_of_postings_and_middle_buckets_change_no_class(spark, small):
+    texts = phrased(400)
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    got = neardup.classes(df, "id", "t", 3, 0.6, 20, small=small, counters=1 << 10, least_round=1)
+    assert {(r.id, r.class_id) for r in got.collect()} == brute_classes(texts, 3, 0.6, 20)
+
+
+def test_shingles_of_odd_texts():
+    rng = random.Random(3)
+    long = "x" * 70
+    parts = ["a", "B", "ab", "ba", "\u00e9", "\u00c9", "_", "10", "\u65e5\u672c", "\u0130", long, long + "y", "y" + long, "-", "\x00"]
+    texts = ["", None, " ", "a b", *(" ".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(500))]
+    at, sets = neardup.Shingler(3, 4)(texts)
+    want = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in enumerate(texts) if len(w := WORD.findall((t or "").lower())) >= 4}
+    assert at == list(want)
+    by_words, by_hash = defaultdict(list), defaultdict(list)
+    for i, s in zip(at, sets, strict=True):
+        assert len(s) == len(want[i]) and (s[1:] > s[:-1]).all()
+        for x in want[i]:
+            by_words[x].append(i)
+        for x in s.tolist():
+            by_hash[x].append(i)
+    assert sorted(by_words.values()) == sorted(by_hash.values())
+
+
 def test_trie_join_keeps_all_within_budget():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 256, (6, 64), dtype=np.uint8)
